@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import neardup
+from lexloom.llm import cooccur, mixing, neardup, packing, splitting, tokens
 from lexloom.runtime import Scratch, read
 
 #: Problem 2 as TESTDATA.md states it for this project.
@@ -23,6 +23,139 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.labelled(neardup.near_copies(read(spark, sf_dir, "clauses"), "id", "text", scratch), scratch)
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+#: Problem 4: text column and limit of each table; the overlap is the same for both.
+LIMITS, OVERLAP = {"clauses": ("text", 2_000), "parliament_items": ("body_text", 4_000)}, 200
 
-SQL: dict[str, str] = {}
+
+def _pieces(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    text, limit = LIMITS[table]
+    cut = splitting.split_oversized(read(spark, sf_dir, table), "id", text, limit, OVERLAP)
+    return cut.select(F.lit(table).alias("table_name"), *[F.col(c) for c in cut.columns]).withColumnRenamed("id", "row_id")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the oversized texts of both tables."""
+    return _pieces(spark, sf_dir, "clauses").unionByName(_pieces(spark, sf_dir, "parliament_items"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).where("piece = 0").select("table_name", "row_id", "boundary")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of clauses that exist."""
+    edges = read(spark, sf_dir, "clause_concepts").select("clause_id", "concept_id").where("clause_id is not null and concept_id is not null")
+    return edges.join(read(spark, sf_dir, "clauses").select(F.col("id").alias("clause_id")), "clause_id", "left_semi")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = cooccur.PairTable(spark, Scratch(spark, "pairs")).update(_tagged(spark, sf_dir), "clause_id", "concept_id")
+    case = "n_ab >= 5 AND 2000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b"
+    return table.associations().where(case).select(F.col("a").alias("concept_id_a"), F.col("b").alias("concept_id_b"))
+
+
+def _association(table: cooccur.PairTable) -> DataFrame:
+    out = table.associations()
+    return out.select(F.col("a").alias("concept_id_a"), F.col("b").alias("concept_id_b"), "n_ab", "n_a", "n_b", "n", *[F.round(c, 6).alias(c) for c in ("lift", "pmi", "npmi")])
+
+
+def p5_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs with counts and association."""
+    return _association(cooccur.PairTable(spark, Scratch(spark, "pairs")).update(_tagged(spark, sf_dir), "clause_id", "concept_id"))
+
+
+def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as p5_association after three updates: first every basket without its largest item, then the baskets with an odd
+    id as they are, then those with an even one."""
+    rows = _tagged(spark, sf_dir)
+    most = rows.groupBy("clause_id").agg(F.max("concept_id").alias("top"))
+    table = cooccur.PairTable(spark, Scratch(spark, "pairs"))
+    table.update(rows.join(most, "clause_id").where("concept_id <> top"), "clause_id", "concept_id")
+    table.update(rows.where("clause_id % 2 = 1"), "clause_id", "concept_id")
+    table.update(rows.where("clause_id % 2 = 0"), "clause_id", "concept_id")
+    return _association(table)
+
+
+#: Problem 6: tokens in a container.
+CONTAINER = 4_096
+
+
+def _sized(spark: SparkSession, sf_dir: str, scratch: Scratch, *columns: str) -> DataFrame:
+    """documents with their size in tokens, counted once."""
+    sized = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *columns, tokens.token_count(F.col("text")).alias("size"))
+    return scratch.put(sized, "sized")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    return packing.pack(_sized(spark, sf_dir, scratch), CONTAINER, scratch)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).where("parts > 1 and part = 1").select(F.col("id").alias("doc_id"))
+
+
+def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or part."""
+    return _packed(spark, sf_dir).select(F.col("id").alias("doc_id"), "part", "parts", F.col("size").alias("n_tokens"), "container")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, and how full they are."""
+    return packing.fill_report(_packed(spark, sf_dir), CONTAINER)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    scratch = Scratch(spark, "mixing")
+    return mixing.mix(_sized(spark, sf_dir, scratch, "source"), read(spark, sf_dir, "mix_targets"), scratch)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).report.where("capped").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats, tokens and shares reached, per source."""
+    return _mixed(spark, sf_dir).report
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken."""
+    return _mixed(spark, sf_dir).copies.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies)
+}
+
+_PAIRS = """
+WITH e AS (
+  SELECT DISTINCT clause_id, concept_id FROM clause_concepts WHERE concept_id IS NOT NULL AND clause_id IN (SELECT id FROM clauses)
+), n AS (SELECT count(DISTINCT clause_id) AS n FROM e),
+m AS (SELECT concept_id, count(*) AS n FROM e GROUP BY 1),
+p AS (
+  SELECT x.concept_id AS concept_id_a, y.concept_id AS concept_id_b, count(*) AS n_ab
+  FROM e x JOIN e y ON x.clause_id = y.clause_id AND x.concept_id < y.concept_id GROUP BY 1, 2
+), s AS (
+  SELECT concept_id_a, concept_id_b, n_ab, a.n AS n_a, b.n AS n_b, n.n AS n FROM p JOIN m a ON a.concept_id = concept_id_a JOIN m b ON b.concept_id = concept_id_b CROSS JOIN n
+)
+"""
+_ASSOCIATION = (
+    _PAIRS
+    + """SELECT concept_id_a, concept_id_b, n_ab, n_a, n_b, n, round(n_ab * n / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift, round(ln(n_ab * n / (CAST(n_a AS DOUBLE) * n_b)), 6) AS pmi,
+  round(CASE WHEN n_ab = n THEN 1.0 ELSE ln(n_ab * n / (CAST(n_a AS DOUBLE) * n_b)) / -ln(n_ab / CAST(n AS DOUBLE)) END, 6) AS npmi FROM s"""
+)
+_BOUNDARY = r"""
+SELECT '{table}' AS table_name, id AS row_id, CASE
+  WHEN list_max(list_transform(regexp_split_to_array({text}, '\n{{2,}}'), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')))) <= {limit} THEN 'paragraph'
+  WHEN list_max(list_transform(regexp_split_to_array(regexp_replace({text}, '([.!?])\s+', '\1' || chr(10) || chr(10), 'g'), '\n{{2,}}'), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')))) <= {limit} THEN 'sentence'
+  WHEN list_max(list_transform(regexp_split_to_array({text}, '\s+'), lambda x: length(x))) <= {limit} THEN 'word'
+  ELSE 'none' END AS boundary FROM {table} WHERE length({text}) > {limit} AND trim({text}) <> ''"""
+
+SQL: dict[str, str] = {
+    "p4_found": " UNION ALL ".join(_BOUNDARY.format(table=t, text=text, limit=limit) for t, (text, limit) in LIMITS.items()),
+    "p5_found": _PAIRS + "SELECT concept_id_a, concept_id_b FROM s WHERE n_ab >= 5 AND 2000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
+    "p5_association": _ASSOCIATION,
+    "p5_incremental": _ASSOCIATION,
+}
