@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import cooccur, mixing, neardup, packing, splitting, tokens
+from lexloom.llm import abuse, cooccur, mixing, neardup, packing, splitting, tokens
 from lexloom.runtime import Scratch, read
 
 #: Problem 2 as TESTDATA.md states it for this project.
@@ -124,9 +124,27 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir).copies.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "copies")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document."""
+    scored = abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "watch_terms"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array_compact(F.array(*[F.when(F.col(c) >= 1, F.lit(c)) for c in abuse.CATEGORIES]))
+    return p8_scores(spark, sf_dir).select("doc_id", F.explode(flags).alias("category"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and shares of documents with each category, per source (trimmed, lower case)."""
+    source = read(spark, sf_dir, "documents").select("doc_id", mixing.plain(F.col("source")).alias("source"))
+    per = source.join(p8_scores(spark, sf_dir), "doc_id").groupBy("source")
+    return per.agg(F.count("*").alias("n_docs"), *[F.avg((F.col(c) >= 1).cast("double")).alias(f"{c}_rate") for c in abuse.CATEGORIES], F.avg(F.greatest(*abuse.CATEGORIES)).alias("mean_score"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies)
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
 }
 
 _PAIRS = """
