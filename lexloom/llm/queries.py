@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import abuse, cooccur, mixing, neardup, packing, splitting, tokens
+from lexloom.llm import abuse, cooccur, mixing, neardup, ocr, packing, splitting, tokens
 from lexloom.runtime import Scratch, read
 
+
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of many lines, rows of one line, titles)."""
+    contracts = read(spark, sf_dir, "contracts")
+    by_id, by_slug = contracts.select("id", "title"), contracts.select("slug", "title")
+    texts = ocr.text_rows(read(spark, sf_dir, "clauses"), "clauses", "id", "text", by_id, "document_id")
+    return texts, ocr.line_rows(read(spark, sf_dir, "blocks"), "blocks", "id", "text", "doc_slug", "pos", by_slug), by_slug
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.defects(*_scans(spark, sf_dir), Scratch(spark, "ocr"))
+
+
 #: Problem 2 as TESTDATA.md states it for this project.
 CLAUSE_COPIES = neardup.Settings(shingle=3, threshold=0.5, min_words=35)
 
@@ -144,7 +157,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
 }
 
 _PAIRS = """
