@@ -9,8 +9,8 @@ word, and which lines are page furniture (running titles and notices). They are
 at random and on titles dressed up as running heads. Lines that hold a page number only are known by their form.
 
 Lines of one text stand in one row (``text_rows``) or one line per row in order of a position (``line_rows``). Rows of
-the latter kind are cut into blocks of ``BLOCK`` positions, each with the first lines of the next block, so no document
-is ever gathered in one task.
+the latter kind are cut into blocks of ``BLOCK`` positions, each with the nearest ``AHEAD`` positions of its neighbours, so
+no document is ever gathered in one task.
 
 Bounds: the trees are fitted to at most ``TRAIN_WORDS`` words and ``TRAIN_TITLES`` titles; the words sent to all tasks
 to save looking them up are at most ``SENT_WORDS``, all others go through a join. Counts, candidates and corrections
@@ -58,7 +58,7 @@ SHAPES = {
 }
 _READ = [(true, read) for true, reads in SHAPES.items() for read in reads.split()]
 _FOLD = [("rn", "m"), ("nn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("li", "h"), ("ri", "n")]
-_ONE = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "5": "s", "6": "h", "b": "h", "9": "g", "q": "g", "f": "t", "c": "e", "4": "a", "2": "z", "o": "e", "u": "n", "v": "y"})
+_ONE = str.maketrans({"0": "e", "1": "l", "i": "l", "j": "l", "5": "s", "6": "h", "b": "h", "9": "g", "q": "g", "f": "t", "c": "e", "4": "a", "2": "z", "o": "e", "u": "n", "v": "y"})
 
 
 def folded(word: str) -> str:
@@ -73,7 +73,7 @@ def grams(word: str) -> list[str]:
     return sorted({shape[i : i + 3] for i in range(len(shape) - 2)})
 
 
-_COST = {(t, r): 0.3 if len(t) + len(r) > 2 else 0.4 for t, r in _READ}
+_COST = {(t, r): 0.3 if len(t) + len(r) > 2 else 0.4 for t, r in _READ} | {x: 0.8 for x in (("t", "1"), ("o", "c"), ("a", "o"), ("c", "o"), ("r", "n"), ("v", "y"), ("y", "v"))}
 
 
 def reading_cost(true: str, read: str) -> tuple[float, int, int]:
@@ -134,9 +134,11 @@ def spell_model(vocabulary: list[tuple[str, int]], seed: int = 7) -> Boosted:
         hits = Counter(k for g in own for k in index.get(g, ()))
         return [(n / len(own), k) for k, n in hits.most_common(4) if n / len(own) >= 0.4]
 
-    for k, (w, n) in enumerate(words):
+    rounds = max(1, min(8, 8_000 // max(1, len(words))))
+    for k, (w, n) in [(k, x) for k, x in enumerate(words) for _ in range(rounds)]:
+        # both kinds are as rare against their word, so that rarity alone decides nothing
+        seen = max(1, int(n / 10 ** draw.uniform(0.9, 4)))
         if read := misread_once(w, draw):
-            seen = max(1, int(n / draw.choice((10, 30, 100, 1000))))
             for shared, c in near(read):
                 x.append(pair_features(read, words[c][0], seen, words[c][1], shared))
                 y.append(float(c == k))
@@ -145,7 +147,7 @@ def spell_model(vocabulary: list[tuple[str, int]], seed: int = 7) -> Boosted:
         slip = draw.choice((w[:i] + letter + w[i + 1 :], w[:i] + letter + w[i:], w[:i] + w[i + 1 :], w + "s", w[: len(w) // 2]))
         if slip != w and reading_cost(w, slip)[2]:
             for shared, c in near(slip):
-                x.append(pair_features(slip, words[c][0], draw.randint(1, 5), words[c][1], shared))
+                x.append(pair_features(slip, words[c][0], seen, words[c][1], shared))
                 y.append(0.0)
     if not x or not any(y):
         x, y = [[9.0] * 10, [0.3] * 10], [0.0, 1.0]
@@ -346,13 +348,14 @@ def text_rows(df: DataFrame, name: str, row: str, text: str, title: DataFrame |
 
 
 def line_rows(df: DataFrame, name: str, row: str, text: str, doc: str, position: str, title: DataFrame | None = None) -> DataFrame:
-    """One line per row: (table_name, row_id, _doc, _block, _pos, _ahead, _text, _title), each block with the first lines of the next."""
+    """One line per row: (table_name, row_id, _doc, _block, _pos, _ahead, _text, _title), each block with the nearest lines of its neighbours."""
     rows = df.select(F.lit(name).alias("table_name"), F.col(row).cast("long").alias("row_id"), F.col(text).cast("string").alias("_text"), F.col(doc).cast("string").alias("_doc"), F.col(position).cast("long").alias("_pos")).where("_text is not null")
     placed = F.col("_doc").isNotNull() & F.col("_pos").isNotNull()
     block = F.floor(F.col("_pos") / BLOCK).cast("long")
     own = F.struct(block.alias("_block"), F.lit(False).alias("_ahead"))
     early = F.when(placed & (F.pmod(F.col("_pos"), F.lit(BLOCK)) < AHEAD), F.struct((block - 1).alias("_block"), F.lit(True).alias("_ahead")))
-    rows = rows.withColumn("_e", F.explode(F.array_compact(F.array(own, early)))).select("table_name", "row_id", "_text", "_doc", "_pos", "_e._block", "_e._ahead")
+    late = F.when(placed & (F.pmod(F.col("_pos"), F.lit(BLOCK)) >= BLOCK - AHEAD), F.struct((block + 1).alias("_block"), F.lit(True).alias("_ahead")))
+    rows = rows.withColumn("_e", F.explode(F.array_compact(F.array(own, early, late)))).select("table_name", "row_id", "_text", "_doc", "_pos", "_e._block", "_e._ahead")
     # rows without a place stand alone
     rows = rows.withColumn("_doc", F.when(placed, F.col("_doc")).otherwise(F.concat(F.lit("\u0000"), F.coalesce("_doc", F.lit("")), F.lit("\u0000"), F.col("row_id").cast("string"))))
     rows = rows.withColumn("_block", F.coalesce("_block", F.lit(0))).withColumn("_pos", F.coalesce("_pos", F.lit(0)))
@@ -402,7 +405,9 @@ def corrections(types: DataFrame, model: Boosted) -> DataFrame:
         return pd.Series(model.chance(np.array(x)) if x else np.zeros(0))
 
     scored = pairs.withColumn("p", chance("word", "right", "n", "n_right", F.col("shared") / F.col("size"))).where("p >= 0.5")
-    return scored.groupBy("word").agg(F.max_by("right", F.struct("p", "n_right", "right")).alias("right"))
+    # of candidates the trees find alike, the one that is cheaper to misread as this
+    scored = scored.withColumn("cost", F.udf(lambda true, read: reading_cost(true, read)[0], "double")("right", "word"))
+    return scored.groupBy("word").agg(F.max_by("right", F.struct(F.round("p", 1), -F.col("cost"), "n_right", "right")).alias("right"))
 
 
 @dataclass
@@ -478,15 +483,89 @@ def defects(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratc
     return found.where("defect <> 'word'").unionByName(misread).distinct()
 
 
+def _rebuilt(reader: Reader, lines: list[tuple[int, str]], title: Title | None, starts: bool, fixes: list[dict]) -> list[str | None]:
+    """Each line repaired: None for furniture, words cut at its end made whole, halves at its start taken away, misread words put right."""
+    kinds, cuts, _ = reader.read(lines, title, starts)
+    second = {j for j, _, _ in cuts.values()}
+    out: list[str | None] = []
+    for i, (_, text) in enumerate(lines):
+        if kinds[i] in ("header", "page_number"):
+            out.append(None)
+            continue
+        line, tail = text.strip(), ""
+        if i in second:
+            line = line[FIRST_WORD.match(line).end() :]
+            # what stood right behind the word went with it
+            line = line.lstrip(".,;:)\"'").lstrip()
+        if i in cuts:
+            j, whole, left = cuts[i]
+            right = FIRST_WORD.match(lines[j][1].strip())
+            mark = re.match(r"[.,;:)\"']*", lines[j][1].strip()[right.end() :]).group()
+            line = line[: HYPHEN_END.search(line).start()]
+            tail = left + whole[len(left) :] + mark
+        if fixes[i]:
+            line = WORD.sub(lambda m: like(m.group(), fixes[i]), line)  # noqa: B023
+        out.append(line + tail)
+    return out
+
+
+def like(word: str, fixes: dict[str, str]) -> str:
+    """The right word in the case of the one it stands for."""
+    right = fixes.get(word.lower())
+    if right is None:
+        return word
+    return right.upper() if word.isupper() and len(word) > 1 else right.capitalize() if word[:1].isupper() else right
+
+
+def repaired(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(table_name, row_id, text): each row's text in continuous paragraphs; null where a line is furniture."""
+    models, right = learn(texts, lines, titles, scratch)
+    reader = lambda: Reader(models.counts, models.good, models.join, models.keep, models.head)
+    words = texts.select("table_name", "row_id", "_text").unionByName(lines.where("not _ahead").select("table_name", "row_id", "_text"))
+
+    def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, r, w) for t, r, x in zip(batch["table_name"], batch["row_id"], batch["_text"]) for w in set(WORD.findall(x.lower())) - models.good], columns=["table_name", "row_id", "word"])
+
+    fixes = words.mapInPandas(unknown, "table_name string, row_id long, word string").join(right, "word")
+    fixes = scratch.put(fixes.groupBy("table_name", "row_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fix")), "fixes")
+
+    def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = reader()
+        for batch in batches:
+            out = []
+            for name, row, text, title, fix in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"], batch["_fix"]):
+                parts = [(row, x) for x in text.split("\n")]
+                done = _rebuilt(own, parts, title_of(title), False, [dict(fix or {})] * len(parts))
+                body = [x for x in done if x is not None]
+                if len(parts) > 1 and max(len(x) for _, x in parts) <= 120 and not any(re.match(r"\(?[a-z0-9]{1,3}[.)]\s", x) for x in body[1:]):
+                    text = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n{2,}", "\n".join(body)))
+                else:  # lines that the writer set
+                    text = "\n".join(body)
+                out.append((name, row, text))
+            yield pd.DataFrame(out, columns=["table_name", "row_id", "text"])
+
+    def in_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = reader()
+        for group in grouped(batches):
+            done = _rebuilt(own, [(r[1], r[2]) for r in group], title_of(group[0][4]), group[0][5] == 0, [dict(r[6] or {}) for r in group])
+            yield pd.DataFrame([(r[0], r[1], x) for r, x in zip(group, done) if not r[3]], columns=["table_name", "row_id", "text"])
+
+    on, out = ["table_name", "row_id"], "table_name string, row_id long, text string"
+    placed = lines.join(fixes, on, "left").repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
+    return texts.join(fixes, on, "left").mapInPandas(in_texts, out).unionByName(placed.mapInPandas(in_lines, out))
+
+
 def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """The sorted lines of each block of a document: (table, row, text, ahead, title, position)."""
+    """The sorted lines of each block of a document: (table, row, text, ahead, title, position, fixes)."""
     key, group = None, []
     for batch in batches:
-        for name, row, text, ahead, title, pos, doc, block in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_ahead"], batch["_title"], batch["_pos"], batch["_doc"], batch["_block"]):
+        fixes = batch["_fix"] if "_fix" in batch else [None] * len(batch)
+        for name, row, text, ahead, title, pos, fix, doc, block in zip(*(batch[c] for c in ("table_name", "row_id", "_text", "_ahead", "_title", "_pos")), fixes, batch["_doc"], batch["_block"]):
             if (name, doc, block) != key:
                 if group:
                     yield group
                 key, group = (name, doc, block), []
-            group.append((name, row, text, ahead, title, pos))
+            group.append((name, row, text, ahead, title, pos, fix))
     if group:
         yield group

@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.defects(*_scans(spark, sf_dir), Scratch(spark, "ocr"))
 
 
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clause and block with its text repaired; null where a block is page furniture."""
+    return ocr.repaired(*_scans(spark, sf_dir), Scratch(spark, "ocr"))
+
+
 #: Problem 2 as TESTDATA.md states it for this project.
 CLAUSE_COPIES = neardup.Settings(shingle=3, threshold=0.5, min_words=35)
 
@@ -157,7 +162,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_repaired, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
 }
 
 _PAIRS = """
