@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+
 import numpy as np
 
 
@@ -13,6 +16,7 @@ class Boosted:
         self.edges: list[np.ndarray] = []
         self.trees: list[list[tuple[int, int, float]]] = []
         self.base = 0.0
+        self._plain: list[list[float]] | None = None
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
@@ -58,6 +62,23 @@ class Boosted:
                 at[rows] = 2 * node + 1 + (b[rows, best[1]] > best[2])
         return tree, out
 
+    def one(self, row: list[float]) -> float:
+        """The chance of a single row, without arrays."""
+        b, margin = [bisect_left(e, v) for e, v in zip(self._lists(), row)], self.base
+        for tree in self.trees:
+            at = 0
+            feature, cut, value = tree[0]
+            while feature >= 0:
+                at = 2 * at + 1 + (b[feature] > cut)
+                feature, cut, value = tree[at]
+            margin += value
+        return 1 / (1 + math.exp(-margin))
+
+    def _lists(self) -> list[list[float]]:
+        if self._plain is None:
+            self._plain = [e.tolist() for e in self.edges]
+        return self._plain
+
     def chance(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=float)
         if not len(x):

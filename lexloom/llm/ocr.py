@@ -18,7 +18,7 @@ cover all rows.
 
 Defined results: null and blank texts have no defects; repeated rows have theirs each (the result is distinct by row id
 and token); rows without document or position are texts of one line; a null title leaves the other signs of a running
-head; very long words (over 60 characters) and words with fewer than three letters are never corrected; empty tables
+head; very long words (over 60 characters) and words of fewer than four characters are never corrected; empty tables
 give no rows; columns other than those named are ignored.
 """
 
@@ -28,7 +28,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,6 +270,7 @@ class Reader:
         self.prefixes = prefixes_of(counts)
         self.heads: dict[tuple, bool] = {}
         self.joins: dict[tuple, tuple[bool, bool]] = {}
+        self.tokens: dict[str, tuple] = {}
 
     def is_head(self, line: str, before: str, after: str, first: bool, title: Title | None) -> bool:
         if len(line) > 110 or line[:1].islower() or line[-1:] in ".,;:":
@@ -283,16 +284,29 @@ class Reader:
         features = head_features(line, before, after, first, title)
         key = tuple(features)
         if key not in self.heads:
-            self.heads[key] = bool(self.head.chance(np.array([features]))[0] >= 0.5)
+            self.heads[key] = self.head.one(features) >= 0.5
         return self.heads[key]
 
+    def unknown(self, tokens: Iterable[str]) -> set:
+        """The words in tokens that aren't known to be right. What a token holds is looked up once."""
+        out: set = set()
+        for token in tokens:
+            held = self.tokens.get(token)
+            if held is None:
+                if len(self.tokens) > 1_000_000:
+                    self.tokens.clear()
+                held = self.tokens[token] = tuple(w for w in WORD.findall(token) if w not in self.good and not w.isdigit() and 3 < len(w) <= 60)
+            if held:
+                out.update(held)
+        return out
+
     def cut(self, left: str, right: str) -> tuple[bool, bool]:
         """(is a word cut here, does the hyphen belong to it)."""
         key = (left, right)
         if key not in self.joins:
-            f = np.array([join_features(left, right, self.counts, self.prefixes)])
-            whole = bool(right[:1].islower() and self.join.chance(f)[0] >= 0.5)
-            self.joins[key] = (whole, whole and bool(self.keep.chance(f)[0] >= 0.5))
+            f = join_features(left, right, self.counts, self.prefixes)
+            whole = right[:1].islower() and self.join.one(f) >= 0.5
+            self.joins[key] = (whole, whole and self.keep.one(f) >= 0.5)
         return self.joins[key]
 
     def read(self, lines: list[tuple[int, str]], title: Title | None, starts: bool) -> tuple[list[str], dict[int, tuple[int, str, str]], list[tuple[int, set]]]:
@@ -317,12 +331,17 @@ class Reader:
                     cuts[i] = (body[n + 1], f"{left.group(1)}{'-' if kept else ''}{right.group(1)}".lower(), left.group(1))
                     second[body[n + 1]] = right.group(1)
         for i in body:
-            words = WORD.findall(texts[i].lower())
-            if i in cuts and words:
-                words = words[:-1]
-            if i in second and words:
-                words = words[1:]
-            if rest := {w for w in words if w not in self.good}:
+            tokens = texts[i].lower().split()
+            first, last = 0, len(tokens)
+            rest: set = set()
+            if i in cuts and last:
+                last -= 1
+                rest.update(self.unknown(" ".join(WORD.findall(tokens[-1])[:-1]).split()))
+            if i in second and first < last:
+                first = 1
+                rest.update(self.unknown(" ".join(WORD.findall(tokens[0])[1:]).split()))
+            rest.update(self.unknown(tokens[first:last]))
+            if rest:
                 unknown.append((i, rest))
         return kinds, cuts, unknown
 
@@ -371,20 +390,29 @@ def word_types(texts: DataFrame) -> DataFrame:
     half = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-‐¬][ \t]*(?:\n\s*([^\W_]+)|$)")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[str]] = {}
         for batch in batches:
-            seen: Counter = Counter()
+            tokens: Counter = Counter()
             zero: set = set()
             for text, line in zip(batch["_text"], batch["_line"]):
                 low = text.lower()
-                if "-\n" in low or "- \n" in low or "‐" in low or "¬" in low or line:
+                if line or "-\n" in low or "- \n" in low or "‐" in low or "¬" in low:
                     low = half.sub(" ", low)
-                words = WORD.findall(low)
-                if line and words:
-                    zero.add(words[0])
-                    words = words[1:]
-                seen.update(words)
-            rows = [(w, n) for w, n in seen.items() if len(w) <= 60 and not w.isdigit()] + [(w, 0) for w in zero if w not in seen and len(w) <= 60]
-            yield pd.DataFrame(rows, columns=["word", "n"])
+                found = low.split()
+                if line and found:
+                    zero.add(found.pop(0))
+                tokens.update(found)
+            # what a token holds is looked up once, as few tokens make up most of a text
+            seen: Counter = Counter()
+            for token, n in [*tokens.items(), *((t, 0) for t in zero)]:
+                words = held.get(token)
+                if words is None:
+                    if len(held) > 1_000_000:
+                        held.clear()
+                    words = held[token] = [w for w in WORD.findall(token) if len(w) <= 60 and not w.isdigit()]
+                for w in words:
+                    seen[w] += n
+            yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
 
     return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -463,7 +491,7 @@ def defects(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratc
             out: list = []
             for name, row, text, title in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"]):
                 if "\n" not in text:
-                    out += [(name, row, "word", w) for w in set(WORD.findall(text.lower())) - models.good]
+                    out += [(name, row, "word", w) for w in reader.unknown(set(text.lower().split()))]
                     continue
                 parts = [(row, x) for x in text.split("\n")]
                 _report(reader, name, parts, [True] * len(parts), title_of(title), False, out)
@@ -524,8 +552,9 @@ def repaired(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scrat
     words = texts.select("table_name", "row_id", "_text").unionByName(lines.where("not _ahead").select("table_name", "row_id", "_text"))
 
     def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = reader()
         for batch in batches:
-            yield pd.DataFrame([(t, r, w) for t, r, x in zip(batch["table_name"], batch["row_id"], batch["_text"]) for w in set(WORD.findall(x.lower())) - models.good], columns=["table_name", "row_id", "word"])
+            yield pd.DataFrame([(t, r, w) for t, r, x in zip(batch["table_name"], batch["row_id"], batch["_text"]) for w in known.unknown(set(x.lower().split()))], columns=["table_name", "row_id", "word"])
 
     fixes = words.mapInPandas(unknown, "table_name string, row_id long, word string").join(right, "word")
     fixes = scratch.put(fixes.groupBy("table_name", "row_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("_fix")), "fixes")
