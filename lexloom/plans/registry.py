@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import nested
+from lexloom.plans import nested, scalars
 
 #: Name of the query that stands for the engine.
 FLAGSHIP = "p3_found"
 
-_MODULES = (nested,)
+_MODULES = (nested, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
