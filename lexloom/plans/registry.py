@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import nested, scalars
+from lexloom.plans import nested, retrieval, scalars
 
 #: Name of the query that stands for the engine.
-FLAGSHIP = "p3_found"
+FLAGSHIP = "ranked_clauses"
 
-_MODULES = (nested, scalars)
+_MODULES = (nested, retrieval, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
