@@ -45,10 +45,13 @@ TRAIN_WORDS, TRAIN_TITLES, SENT_WORDS = 3_000, 400, 100_000
 RATIO = 8
 
 WORD = re.compile(r"[^\W_]+(?:[-‐’'][^\W_]+)*")
+HYPHENS = ("-", "‐", "¬")
 HYPHEN_END = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[-‐¬]\s*$")
+ENDS = ("-\n", "- \n", "‐", "¬")
 FIRST_WORD = re.compile(r"[\s\"'(]*([^\W_]+(?:-[^\W_]+)*)")
 PAGE = re.compile(r"[\s\-–—\[\](|]*(?:p[a-z]{1,3}\.?\s+|p\.\s*)?(?:\d{1,5}(?:\s*(?:of|/)\s*\d{1,5})?|[ivxl]{1,7})[\s\-–—\])|]*$", re.I)
 DRESS = re.compile(r"(?:\b[a-z]{3}:\s*)?\(?\bld/\d+/\d+\)?|\bp[a-z]{2}[a-z]\s+\d+(?:\s+of\s+\d+)?|\s[-–—]\s+dr[a-z]{2}t\s+\d+|^\d+\s*\||\|\s*\d+$", re.I)
+DIGIT = re.compile(r"\d")
 NOTICES = ("private and confidential", "strictly confidential", "confidential", "commercial in confidence", "subject to contract", "without prejudice", "for internal use only", "not for circulation", "all rights reserved", "draft for discussion", "uncontrolled when printed")
 
 #: Shapes that scanning takes for one another: true letters and what is read, with a cost each.
@@ -275,8 +278,10 @@ class Reader:
     def is_head(self, line: str, before: str, after: str, first: bool, title: Title | None) -> bool:
         if len(line) > 110 or line[:1].islower() or line[-1:] in ".,;:":
             return False
-        dressed = DRESS.search(line) is not None
+        dressed = DIGIT.search(line) is not None and DRESS.search(line) is not None
         if not dressed:
+            if len(line) > max(40, len(title.plain) + 12 if title else 0):
+                return False
             words = WORD.findall(line.lower())
             near = title and 2 * len(title.words.intersection(words)) >= len(title.words)
             if not near and not (len(words) <= 5 and max(alike(" ".join(words), n) for n in NOTICES) >= 0.8):
@@ -324,7 +329,7 @@ class Reader:
         unknown: list[tuple[int, set]] = []
         second: dict[int, str] = {}
         for n, i in enumerate(body):
-            left = HYPHEN_END.search(texts[i])
+            left = HYPHEN_END.search(texts[i]) if texts[i][-1:] in HYPHENS else None
             if left and n + 1 < len(body) and (right := FIRST_WORD.match(texts[body[n + 1]])):
                 whole, kept = self.cut(left.group(1), right.group(1))
                 if whole:
@@ -387,8 +392,6 @@ def line_rows(df: DataFrame, name: str, row: str, text: str, doc: str, position:
 
 def word_types(texts: DataFrame) -> DataFrame:
     """(word, n): all word types of ``texts`` (_text, _line: is it one line of a longer text) with their number; halves at line ends are seen but not counted."""
-    half = re.compile(r"([^\W_]+(?:-[^\W_]+)*)[-‐¬][ \t]*(?:\n\s*([^\W_]+)|$)")
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[str]] = {}
         for batch in batches:
@@ -396,12 +399,20 @@ def word_types(texts: DataFrame) -> DataFrame:
             zero: set = set()
             for text, line in zip(batch["_text"], batch["_line"]):
                 low = text.lower()
-                if line or "-\n" in low or "- \n" in low or "‐" in low or "¬" in low:
-                    low = half.sub(" ", low)
-                found = low.split()
-                if line and found:
-                    zero.add(found.pop(0))
-                tokens.update(found)
+                if not line and not any(x in low for x in ENDS):
+                    tokens.update(low.split())
+                    continue
+                after = line
+                for part in low.split("\n"):
+                    found = part.split()
+                    if not found:
+                        continue
+                    if after:
+                        zero.add(found.pop(0))
+                    after = bool(found) and found[-1].endswith(HYPHENS)
+                    if after:
+                        found.pop()
+                    tokens.update(found)
             # what a token holds is looked up once, as few tokens make up most of a text
             seen: Counter = Counter()
             for token, n in [*tokens.items(), *((t, 0) for t in zero)]:
