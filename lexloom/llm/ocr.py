@@ -246,7 +246,8 @@ def head_model(titles: list[str], bodies: list[str], seed: int = 13) -> Boosted:
     def noisy(t: str) -> str:
         return (misread_once(t, draw) or t) if draw.random() < 0.3 else t
 
-    for t in titles[:TRAIN_TITLES]:
+    # few titles are dressed again and again
+    for t in (titles * -(-80 // len(titles)))[:TRAIN_TITLES]:
         n, title = draw.randint(1, 60), title_of(t)
         dressed = [t.upper(), f"{t} - Draft {n}", f"{n} | {t}", f"{t.upper()} (LD/{n}/2020)", f"Ref: LD/{n}/2021  {t}", f"{t}    Page {n} of 60", t, draw.choice(NOTICES[:3]).title(), draw.choice(NOTICES).title()]
         for line in dressed:
@@ -471,7 +472,7 @@ def learn(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratch:
     counts = {w: n for w, n in top if w not in wrong}
     join, keep = join_models(counts, prefixes_of(counts))
     sample = texts.where(F.instr("_text", "\n") > 0).select("_text").orderBy(F.xxhash64("_text")).limit(TRAIN_TITLES).collect()
-    bodies = [x for r in sample for x in r["_text"][:4000].split("\n") if len(x) > 25]
+    bodies = [x for r in sample for x in r["_text"][:4000].split("\n") if len(x) > 25 and not x.isupper() and not DRESS.search(x)]
     names = [r[0] for r in titles.select(titles.columns[1]).where(F.col(titles.columns[1]).isNotNull()).orderBy(F.xxhash64(titles.columns[1])).limit(TRAIN_TITLES).collect()] if titles is not None else []
     return Models(counts, frozenset(counts), join, keep, head_model(names, bodies)), right
 
