@@ -30,6 +30,7 @@ class Settings:
     k: int = 5
     least_score: float = 20.0
     budget: int = 15
+    sent_postings: int = 2_000_000
 
 
 def readable(clauses: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -65,9 +66,15 @@ def query_terms(items: DataFrame, idf: DataFrame, s: Settings) -> DataFrame:
 
 
 def bm25(terms: DataFrame, post: DataFrame, s: Settings) -> DataFrame:
-    """(item_id, id, bm25)."""
+    """(item_id, id, bm25).
+
+    Common terms make far more pairs than items or postings, so the pairs should not be shuffled: while the postings are
+    few they are sent to the items, which then add up their own scores where they are; else both sides meet by term.
+    """
     part = F.col("idf") * F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / F.col("avgdl")))
-    return terms.join(post, "term").groupBy("item_id", "id").agg(F.sum(part).alias("bm25"))
+    few = post.limit(s.sent_postings + 1).count() <= s.sent_postings
+    joined = terms.repartition("item_id").join(F.broadcast(post), "term") if few else terms.join(post, "term")
+    return joined.groupBy("item_id", "id").agg(F.sum(part).alias("bm25"))
 
 
 def clause_tags(edges: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def clause_tags(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(concepts.select(F.col("id").alias("concept_id"), "slug")), "concept_id").select(F.col("clause_id").alias("id"), "slug").distinct()
 
 
-def item_tags(items: DataFrame, concepts: DataFrame, tags: DataFrame, s: Settings, longest: int = 8) -> DataFrame:
+def item_tags(items: DataFrame, concepts: DataFrame, tags: DataFrame, s: Settings) -> DataFrame:
     """Distinct (item_id, slug): concepts named in an item's title or body.
 
     Runs of words of the text meet the concepts' words in an equi-join; the concept's pattern then decides, as a run of
@@ -88,6 +95,8 @@ def item_tags(items: DataFrame, concepts: DataFrame, tags: DataFrame, s: Setting
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
     words = items.select(F.col("id").alias("item_id"), text.alias("text"), F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)).alias("words"))
     runs = words.select("item_id", F.posexplode("words").alias("at", "_w"), "words")
+    # no run is longer than the longest name
+    longest = keys.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]
     widths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
     runs = runs.select("item_id", F.explode(F.transform(widths, lambda w: F.array_join(F.slice("words", F.col("at") + 1, w), " "))).alias("run"))
     met = runs.join(F.broadcast(keys), "run").select("item_id", "slug", "pattern").distinct()
