@@ -2,10 +2,10 @@
 
 Every text gets the k least values of one 32-bit hash over its distinct shingles. Texts that share most shingles share
 most of the least values of their union, so somewhere they hold the same *run* of consecutive retained values. Inverted
-lists of such runs give the candidates; a list longer than ``list_limit`` is no candidate list but is cut finer by the
-next retained value to either side, again and again, so that shingles of a common form never make long lists. The sketch
-of the union then estimates the similarity of a candidate pair, and the pairs above the bound are verified exactly on
-the whole texts.
+lists of such runs give the candidates: all pairs of every list, however long. The members of a list longer than
+``list_limit`` meet in salted blocks, and only the pairs that pass the estimate leave them, so that shingles of a common
+form make work but few rows. The sketch of the union estimates the similarity of a candidate pair, and the pairs above
+the bound are verified exactly on the whole texts.
 
 Identical texts form a class first (grouped by a 64-bit hash of the text, pre-aggregated before the shuffle) and only
 the one with the least id goes on, so groups of copies never meet in a list.
@@ -19,10 +19,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +33,15 @@ WORD = re.compile(r"[^\W_]+")
 RUN_SHIFT = 18
 #: At most so many runs or ids (16 bytes each) are broadcast.
 SENT_RUNS = 1_000_000
+#: Members of a long list that are compared at once, about.
+BLOCK = 256
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
 class Settings:
     """shingle: words in a row; threshold: least Jaccard similarity; min_words: shorter texts take no part;
-    sketch: retained values; list_limit: longest inverted list that is paired as it is; judged: values that the
+    sketch: retained values; list_limit: longest inverted list that is paired by a join, longer ones are paired in blocks; judged: values that the
     similarity is estimated by; slack: the estimate may fall short of the threshold by so many standard deviations;
     few: texts with at most so many distinct shingles have runs of two values too, those with a third of it single ones."""
 
@@ -114,42 +116,91 @@ def _pairs(lists: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key).where("a < b").select("a", "b")
 
 
-def candidates(reps: DataFrame, s: Settings, scratch: Scratch, levels: int = 4) -> DataFrame:
-    """Distinct pairs of classes that meet in a list of at most list_limit members.
-
-    Runs are three values wide; texts with few values, which may share no such run, have narrower ones as well. The last
-    level has no limit of its own: it holds the lists that are equal in many consecutive values.
+def _passing(rep: np.ndarray, n: np.ndarray, flat: np.ndarray, size: np.ndarray, left: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of left and other rows, or of all rows where all are left, that _estimated lets pass. flat: the sketches end to end, size: their lengths."""
+    ends = np.cumsum(size)
+    parts = [flat[e - k : e] for e, k in zip(ends, size)]
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    met = often > 1
+    held = np.zeros((len(rep), int(met.sum())), dtype=np.float32)
+    more = met[at]
+    held[np.repeat(np.arange(len(rep)), size)[more], (np.cumsum(met) - 1)[at[more]]] = 1
+    i = np.flatnonzero(left)
+    j = i if len(i) == len(rep) else np.flatnonzero(~left)
+    last = np.where(n > s.judged, flat[ends - 1], 2**31 - 1)
+    # of each row the values up to the other's last one
+    upto = lambda x, y: np.array([np.searchsorted(parts[k], last[y], "right") for k in x]).reshape(len(x), len(y))
+    shared = held[i] @ held[j].T
+    union = upto(i, j) + upto(j, i).T - shared
+    most, least = np.maximum.outer(n[i], n[j]), np.minimum.outer(n[i], n[j])
+    slack = np.where(most > s.judged, s.slack * np.sqrt(s.threshold * (1 - s.threshold) / np.maximum(union, 1)), 0.0)
+    near = (least >= most * s.threshold - 1e-9) & (shared >= union * (s.threshold - slack) - 1e-6)
+    if j is i:
+        near &= rep[i][:, None] < rep[j][None, :]
+    x, y = np.nonzero(near)
+    x, y = rep[i[x]], rep[j[y]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _block_pairs(longer: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Pairs that meet in long lists and pass the estimate. Any two members of a list meet in exactly one pair of its
+    blocks; a list of m members is sent m / BLOCK times, and no task holds more than two blocks of it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            rep, n, left = (t[c].to_numpy() for c in ("rep", "n", "_left"))
+            lists = t["sketch"].combine_chunks()
+            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            begin = np.concatenate(([0], np.cumsum(size)))
+            out = [_passing(rep[x:y], n[x:y], flat[begin[x] : begin[y]], size[x:y], left[x:y], s) for x, y in zip(bounds[:-1], bounds[1:])]
+            a, b = (np.concatenate([o[k] for o in out] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            if not len(t):
+                continue
+            new = np.zeros(len(t) - 1, dtype=bool)
+            for c in ("run", "_x", "_y"):
+                k = t[c].to_numpy()
+                new |= k[1:] != k[:-1]
+            # the last group may go on in the next batch
+            bounds = np.concatenate(([0], np.flatnonzero(new) + 1))
+            rest = t.slice(bounds[-1])
+            yield found(t.slice(0, bounds[-1]), bounds)
+        if rest is not None:
+            rest = rest.combine_chunks()
+            yield found(rest, np.array([0, len(rest)]))
+
+    # the rows of long lists are sent to the sketches if they are few, else both are shuffled
+    few = longer.limit(SENT_RUNS + 1).count() <= SENT_RUNS
+    held = reps.select("rep", "n", F.slice("sketch", 1, s.judged).alias("sketch")).join(F.broadcast(longer) if few else longer, "rep")
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    met = held.withColumn("_own", F.pmod(F.xxhash64("rep", "run"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x, y = F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y")
+    sent = met.select("run", x, y, (F.col("_own") <= F.col("_other")).alias("_left"), "rep", "n", "sketch")
+    return sent.repartition("run", "_x", "_y").sortWithinPartitions("run", "_x", "_y").mapInArrow(rows, "a long, b long")
+
+
+def candidates(reps: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """Distinct pairs of classes that meet in a list; those of lists of more than list_limit members only if they pass the estimate.
+
+    Runs are three values wide; texts with few values, which may share no such run, have narrower ones as well.
     """
     widths = F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda w: (w == 3) | (F.col("n") <= F.when(w == 2, F.lit(s.few)).otherwise(F.lit(s.few // 3))))
     key = lambda w, start: F.shiftrightunsigned(F.xxhash64(w, F.slice("sketch", start, w)), RUN_SHIFT).alias("run")
     wide = reps.select("rep", "sketch", F.explode(widths).alias("_w"))
     starts = wide.select("rep", "sketch", "_w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("sketch") - F.col("_w") + 1, F.lit(1)))).alias("_from"))
-    runs = starts.select("rep", "_from", "_w", key(F.col("_w"), F.col("_from")))
-    found: list[DataFrame] = []
-    for level in range(levels):
-        # a run is shuffled with its count only, as most stand alone
-        many = scratch.put(runs.groupBy("run").agg(F.count("*").alias("_size")).where("_size > 1"), f"sizes{level}")
-        # few lists are sent to the rows, more than the bound are joined by a shuffle
-        few = many.limit(SENT_RUNS + 1).count() <= SENT_RUNS
-        members = scratch.put(runs.join(F.broadcast(many) if few else many, "run"), f"members{level}")
-        last = level == levels - 1
-        short = members if last else members.where(F.col("_size") <= s.list_limit)
-        found.append(_pairs(short, ["run"]))
-        if last:
-            break
-        longer = members.where(F.col("_size") > s.list_limit)
-        # the rows of long lists are sent to the sketches if they are few, else both are shuffled
-        few = longer.limit(SENT_RUNS + 1).count() <= SENT_RUNS
-        wider = reps.select("rep", "sketch").join(F.broadcast(longer) if few else longer, "rep")
-        n, w, at = F.size("sketch"), F.col("_w"), F.col("_from")
-        ends = F.array(
-            F.when(at + w <= n, F.struct(at.alias("_from"), (w + 1).alias("_w"), key(w + 1, at))),
-            F.when(at > 1, F.struct((at - 1).alias("_from"), (w + 1).alias("_w"), key(w + 1, at - 1))),
-            # a text that is one run as a whole stays with those that end there too
-            F.when((at + w > n) & (at <= 1), F.struct(at.alias("_from"), (w + 1).alias("_w"), F.shiftrightunsigned(F.xxhash64(F.lit(0), "sketch"), RUN_SHIFT).alias("run"))),
-        )
-        runs = wider.select("rep", F.explode(F.array_compact(ends)).alias("_e")).select("rep", "_e._from", "_e._w", "_e.run").distinct()
-    return reduce(DataFrame.unionByName, found).distinct()
+    runs = starts.select("rep", key(F.col("_w"), F.col("_from")))
+    # a run is shuffled with its count only, as most stand alone
+    many = scratch.put(runs.groupBy("run").agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
+    # few lists are sent to the rows, more than the bound are joined by a shuffle
+    few = many.limit(SENT_RUNS + 1).count() <= SENT_RUNS
+    members = scratch.put(runs.join(F.broadcast(many) if few else many, "run"), "members")
+    short = _pairs(members.where(F.col("_size") <= s.list_limit), ["run"])
+    return short.unionByName(_block_pairs(members.where(F.col("_size") > s.list_limit), reps, s)).distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:

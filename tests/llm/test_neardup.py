@@ -1,6 +1,7 @@
 import random
 import re
 
+from lexloom.llm import neardup
 from lexloom.llm.neardup import Settings, expanded, labelled, near_copies
 from lexloom.runtime import Scratch
 
@@ -63,6 +64,26 @@ def test_common_form_makes_no_long_lists(spark):
     assert pairs(found(spark, rows)) == brute(rows, LOOSE) and len(brute(rows, LOOSE)) == 20
 
 
+def test_large_family_of_different_near_copies(spark):
+    """Lists of a family are far longer than list_limit; recall doesn't depend on how many share a run."""
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(152)]
+    rows = [(i, " ".join(f"e{i}x{k}" if draw.random() < 0.085 else w for k, w in enumerate(base))) for i in range(200)]
+    want, got = brute(rows, LOOSE), pairs(found(spark, rows))
+    assert len(want) > 2_000 and got <= want
+    assert len(want - got) <= 0.01 * len(want)
+
+
+def test_lists_of_several_blocks(spark, monkeypatch):
+    """Whatever the blocks are, the pairs are the same."""
+    draw = random.Random(6)
+    base = [f"b{i}" for i in range(152)]
+    rows = [(i, " ".join(f"e{i}x{k}" if draw.random() < 0.07 else w for k, w in enumerate(base))) for i in range(70)]
+    whole = pairs(found(spark, rows))
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    assert pairs(found(spark, rows)) == whole and len(whole) > 500
+
+
 def test_copies_nulls_short_and_extra_columns(spark):
     text = " ".join(f"a{i}" for i in range(20))
     rows = [(1, text, 0), (2, text, 0), (3, text, 1), (4, None, 0), (5, "", 0), (6, "too short", 0), (None, text, 0), (7, "word " * 30, 0), (8, text + " more", 0)]
