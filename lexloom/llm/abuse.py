@@ -3,7 +3,8 @@
 Words are brought to a plain form (compatibility forms, look-alike letters, invisible characters, digits and signs used
 as letters, letters set apart by dots, dashes or blanks, drawn-out letters). Each plain word is looked up by running a
 Levenshtein automaton for it along a trie of the lexicon, so all terms within the allowed edits are found in one walk;
-signs that mask letters count as any letter. A match alone says little: the words in a window around it are scored.
+signs that mask letters count as any letter. Plurals, cut forms, masks at the ends and words an edit away from a term of
+four or five letters are matches too, but get nothing for being disguised. A match alone says little: the words in a window around it are scored.
 Words that aim at somebody (you, they are, the lot of them, threats) raise the score, words of report, law, medicine,
 animals or condemnation and words about the writer lower it. Phrases that are abusive without a listed word have entries
 of their own, made of word sets with gaps. A passage counts from a score of 1.
@@ -39,7 +40,7 @@ PLAIN = frozenset("animals rats bloody worthless pathetic hardcore cock dick bit
 LOOKALIKE = str.maketrans("аеіорсухѕјԁһӏԛԝвкмнтʟɡαοιντρεкυ", "aeiopcyxsjdhlqwbkmhtlgaoivtpeku")
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 _INVISIBLE = re.compile("[­​-‏⁠﻿᠎]")
-_TOKEN = re.compile(r"[^\W_][\w@$*|]*|[@$][\w@$*|]+")
+_TOKEN = re.compile(r"[^\W_][\w@$*|]*|[@$][\w@$*|]+|\*+[^\W_][\w@$*|]*")
 #: Letters set apart: three or more single characters with the same mark between them.
 _APART = re.compile(r"(?<![\w])([^\W_](?:([.\-_ ]|[.\-]\s?)[^\W_])(?:\2[^\W_]){1,30})(?![\w])")
 _HAN = re.compile(r"[一-鿿]")
@@ -142,6 +143,8 @@ class Lexicon:
         self.trie = Trie([w for w in self.of if not _HAN.search(w)])
         self.han = {w for w in self.of if _HAN.search(w)}
         self.known: dict[str, str | None] = {}
+        #: Words looked up that are near a term by letters alone: the window has to say that the term is meant.
+        self.loose: set[str] = set()
         self.passages = [(category, [frozenset(x.split("|")) for x in words.split()]) for category, words in PASSAGES]
         self.first = {}
         for p in self.passages:
@@ -154,6 +157,7 @@ class Lexicon:
             return self.known[word]
         if len(self.known) > 500_000:
             self.known.clear()
+            self.loose.clear()
         self.known[word] = found = self._find(word)
         return found
 
@@ -166,13 +170,14 @@ class Lexicon:
         if letters.isdigit() or not any(c.isalpha() or c == "*" for c in letters):
             return None
         drawn = re.sub(r"(.)\1+", r"\1", letters)
-        marked = letters != word or "*" in word
         for form in (letters, re.sub(r"(.)\1{2,}", r"\1\1", letters), re.sub(r"(.)\1{2,}", r"\1", letters), drawn):
             if form in self.of:
                 return form
         if "*" in letters:
             ends = letters.strip("*")
-            hits = [t for n, t in self.trie.within(letters, 0)] if ends else []
+            hits = [t for n, t in self.trie.within(letters, 0)] if ends and ends not in COMMON else []
+            if ends != letters:  # signs at the ends may be emphasis or a footnote
+                self.loose.add(word)
             # a mask of many letters stands for the one term of this length with these ends
             return min(hits) if hits and (len(letters) - letters.count("*") >= 2) else None
         # drawn-out letters: terms equal when every run counts once
@@ -180,17 +185,26 @@ class Lexicon:
             for n, t in self.trie.within(drawn, 1):
                 if re.sub(r"(.)\1+", r"\1", t) == drawn:
                     return t
-        if word.isalpha() and (len(word) >= 6 or marked):
+        if word.isalpha() and len(word) >= 4 and letters not in COMMON:
             allowed = 1 if len(word) < 10 else 2
-            for n, t in self.trie.within(letters, allowed):
-                # real words differ from terms by their ends; a misspelling keeps the first letter and the length but for one
-                if letters[0] == t[0] and abs(len(letters) - len(t)) <= 1 and len(t) >= 6 and letters not in COMMON and not letters.startswith(t) and not t.startswith(letters):
+            # real words differ from terms by their ends; a misspelling keeps the first letter and the length but for one
+            near = [t for n, t in self.trie.within(letters, allowed) if letters[0] == t[0] and abs(len(letters) - len(t)) <= 1 and len(t) >= 4]
+            for t in near:
+                if len(word) >= 6 and len(t) >= 6 and not letters.startswith(t) and not t.startswith(letters):
                     return t
+            # short terms, plurals and cut forms
+            if near:
+                self.loose.add(word)
+                return near[0]
         return None
 
 
 #: Usual words within an edit or two of a term: fixed values.
-COMMON = frozenset("assassin dickson cocktail cockpit scunthorpe idiotic idiom bastion mormon morons vermouth savage filthy animal parasite cockroach patriotic bleeding bloodied blooded moaning pathetic worthiness pricing priced prices bitter pitched ditch witch savaged ravages savings averages animate animals' hardware hard-core hardcover process parasitic clammy cramped scrappy crappie sharing shirty".split())
+COMMON = frozenset("assassin dickson cocktail cockpit scunthorpe idiotic idiom bastion mormon vermouth savage filthy animal parasite cockroach patriotic bleeding bloodied blooded moaning pathetic worthiness pricing priced prices bitter pitched ditch witch savaged ravages savings averages animate animals' hardware hard-core hardcover process parasitic clammy cramped scrappy crappie sharing shirty "
+    "idiom moroni batch birch botch butch fifth filch firth port pork pore porch nodes nukes nudges clock cook cork conk cocky crock chock coco coca pushy puss pursy "
+    "tips ties tins tics tints tilts tots tuts twits titus its that twit twas teat treat shut slit slot slat slurt smut cent cant cont count curt cult cute cuts "
+    "disk dock duck deck dice dink dirk books boots booms boos booby bobs boons boors price pricy pick prink ages aces ales axes apex aped apse apses apps ares "
+    "baby babe bagi bali bari bibi rate rates rams rays rags raps ruts rots rafts rants scam scams swum slum scrum scud sail seal sill sisal".split())
 
 
 def _weights(window: list[str], at: int, reach: int) -> float:
@@ -212,6 +226,7 @@ def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, flo
     if "." in low or "-" in low or " " in low:
         low = _APART.sub(lambda m: re.sub(r"[.\-_ ]", "", m.group(1)) if m.group(2) else m.group(0), low)
     words: list[str] = []
+    whole: list[str] = []
     breaks: list[int] = []
     number = 0
     last = 0
@@ -219,7 +234,8 @@ def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, flo
         gap = low[last : m.start()]
         if "\n" in gap or "." in gap or "!" in gap or "?" in gap:
             number += 1
-        words.append(m.group().rstrip("*|_"))
+        whole.append(m.group().rstrip("|_"))
+        words.append(m.group().rstrip("*|_").lstrip("*"))
         breaks.append(number)
         last = m.end()
     for i, word in enumerate(words):
@@ -227,7 +243,9 @@ def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, flo
             for category, sets in lexicon.first[word]:
                 if _follows(words, i, sets):
                     out.append((category, 1.5, " ".join(words[i : i + len(sets)])))
-        term = lexicon.find(word)
+        # masks at the ends count as letters, unless the word is a term without them
+        spelt = word if whole[i] == word or word in lexicon.of or lexicon.find(whole[i]) is None else whole[i]
+        term = lexicon.find(spelt)
         if term is None:
             continue
         category, severity = lexicon.of[term]
@@ -239,7 +257,7 @@ def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, flo
         while b + 1 < len(words) and b - i < reach and breaks[b + 1] == breaks[i]:
             b += 1
         cue = _weights(words[a : b + 1], i - a, reach)
-        base = (0.35 if term in PLAIN else 0.7) + 0.1 * severity + (0.3 if word != term else 0.0)
+        base = (0.35 if term in PLAIN else 0.7) + 0.1 * severity + (0.3 if spelt != term and spelt not in lexicon.loose else 0.0)
         out.append((category, base + cue, word))
     return out
 

@@ -38,6 +38,17 @@ def test_spellings_are_found():
     assert categories("you are a $cumbag and they know it") == {"abuse"}
 
 
+def test_misspelt_short_terms_plurals_and_masks_at_the_ends():
+    for word in ("idoit", "idiots", "idit", "morons", "bitcj", "bastards", "fuckin", "idio*", "*diot", "**idiot**", "idiot*", "fuckin*"):
+        assert categories(f"Shut up, you {word}, your form can rot.") == {"abuse"}, word
+    assert categories("show me your nuds tonight") == {"sexual"} and categories("kamu memang bodo, pergi!") == {"abuse"}
+
+
+def test_usual_words_near_short_terms_are_no_case():
+    for text in ("You said that they count the fifth batch of books by the clock, and you shut the port.", "The morons of the play are a chapter.", "Keep *its own* rate, you and your baby.", "You pick a price, *that* is your tips."):
+        assert categories(text) == set(), text
+
+
 def test_mentions_are_no_case():
     for text in (
         "The Member quoted a poster that called the victim an idiot, and condemned such abuse.",
