@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with whole items.
 
 Items are spread evenly over groups of bounded size by a hash of their id, so no source or key makes a hot group. Each
-group is packed on its own: best fit in decreasing order, then local search among the underfull containers, which moves
+group is packed on its own: best fit in decreasing order, then local search among the containers below ``full``, which moves
 an item, exchanges one for one or two for one whenever that increases the sum of squared fills, until the emptiest
 containers are empty or nothing more can be gained. The items of containers that stay underfull go on to the next
 round, in a ``fan_in``-th of the groups, until one group is left; so the room lost at the edges of groups is won back.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -92,15 +93,18 @@ class Bins:
         self.apply(a, b, best[1], best[2])
         return True
 
-    def search(self, full: float, steps: int) -> None:
-        """Empty the emptiest underfull container into the fuller ones, again and again."""
+    def search(self, full: float, steps: int | None = None) -> None:
+        """Empty the emptiest underfull container into the fuller ones, in so many sweeps or until one changes nothing.
+
+        Every change raises the sum of squared fills, so the sweeps end.
+        """
         bound = full * self.capacity
-        for _ in range(steps):
+        for _ in count() if steps is None else range(steps):
             open_bins = sorted((b for b in range(len(self.fill)) if 0 < self.fill[b] < bound), key=lambda b: (self.fill[b], b))
             if len(open_bins) < 2:
                 return
             changed = False
-            for n, a in enumerate(open_bins[: max(1, len(open_bins) // 2)]):
+            for n, a in enumerate(open_bins):
                 for b in reversed(open_bins[n + 1 :]):
                     while self.fill[a] and self.fill[b] >= self.fill[a] and self.improve(a, b):
                         changed = True
@@ -110,7 +114,7 @@ class Bins:
                 return
 
 
-def pack_group(sizes: list[int], capacity: int, full: float, steps: int) -> tuple[list[int], list[int]]:
+def pack_group(sizes: list[int], capacity: int, full: float, steps: int | None = None) -> tuple[list[int], list[int]]:
     """(container of each item, fill of each container)."""
     bins = Bins(capacity)
     bins.best_fit(sorted(((s, i) for i, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])))
@@ -122,7 +126,7 @@ def pack_group(sizes: list[int], capacity: int, full: float, steps: int) -> tupl
     return of, bins.fill
 
 
-def _filler(capacity: int, full: float, steps: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _filler(capacity: int, full: float, steps: int | None, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "part", "_spread"], ascending=False, kind="stable").reset_index(drop=True)
         of, fills = pack_group(pdf["size"].tolist(), capacity, full, steps)
@@ -134,11 +138,11 @@ def _filler(capacity: int, full: float, steps: int, level: int, last: bool) -> C
     return fill
 
 
-def pack(sized: DataFrame, capacity: int, scratch: Scratch, group_rows: int = 4_000, fan_in: int = 16, full: float = 0.98, steps: int = 3) -> DataFrame:
+def pack(sized: DataFrame, capacity: int, scratch: Scratch, group_rows: int = 4_000, fan_in: int = 16, full: float = 0.98, steps: int | None = None) -> DataFrame:
     """(id, part, parts, size, container) for each part of each row of ``sized`` (id, size).
 
     group_rows: items packed in one task at most on average; full: containers filled less are opened again in the next
-    round; steps: sweeps of the local search.
+    round; steps: most sweeps of the local search, by default as many as change something.
     """
     sized = sized.select("id", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     parts = sized.select("id", F.col("size").alias("total"), F.greatest(F.ceil(F.col("size") / F.lit(capacity)), F.lit(1)).cast("int").alias("parts"))

@@ -34,6 +34,21 @@ def test_local_search_never_worsens_and_empties_containers():
     assert emptied >= 5
 
 
+def test_search_goes_on_until_nothing_changes(spark):
+    """Three sweeps over the emptier half leave 8 containers of these 20 items."""
+    sizes = [300, 305, 463, 447, 176, 434, 214, 398, 452, 257, 162, 474, 311, 398, 441, 386, 378, 223, 250, 268]
+    out = pack(spark.createDataFrame(list(enumerate(sizes)), "id long, size long"), 1_000, Scratch(spark, "test"))
+    assert fill_report(out, 1_000).first()["containers"] == 7
+    for seed in range(20):
+        draw = random.Random(seed)
+        bins = Bins(1_000)
+        bins.best_fit(sorted(((draw.randint(150, 480), i) for i in range(80)), key=lambda x: (-x[0], x[1])))
+        bins.search(1.0)
+        full = list(bins.fill)
+        bins.search(1.0, 1)
+        assert bins.fill == full
+
+
 def test_pack(spark):
     draw = random.Random(2)
     rows = [(i, draw.randint(1, 60), "x") for i in range(3_000)] + [(9_001, 250, "x"), (9_001, 250, "x"), (9_002, 0, "x"), (9_003, None, "x"), (9_004, 200, "x")]
