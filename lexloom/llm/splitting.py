@@ -91,7 +91,7 @@ def pieces(text: str, limit: int, overlap: int, block: int = 20, least_fill: flo
     def at(n: int) -> tuple[list[int], np.ndarray]:
         if n not in gaps:
             ends = [m.end() for m in patterns[n].finditer(text)]
-            gaps[n] = (ends, valley_depths(text, ends, block) if n < 2 else np.zeros(len(ends)))
+            gaps[n] = (ends, valley_depths(text, ends, block))
         return gaps[n]
 
     out, start, size = [], 0, len(text)
@@ -107,7 +107,7 @@ def pieces(text: str, limit: int, overlap: int, block: int = 20, least_fill: flo
             ends, depth = at(n)
             low, high = bisect_left(ends, low_end), bisect_right(ends, reach)
             if low < high:
-                cut = ends[high - 1 - int(np.argmax(depth[low:high][::-1]))] if low_end == least else ends[high - 1]
+                cut = ends[high - 1 - int(np.argmax(depth[low:high][::-1]))]
                 break
         out.append((begin, start, cut))
         start = cut

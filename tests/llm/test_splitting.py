@@ -29,6 +29,16 @@ def test_cut_falls_where_the_topic_changes():
     assert parts[0][2] == len(one) * 6
 
 
+def test_word_gaps_and_early_gaps_are_cut_at_the_valley():
+    one, two = "cats purr and cats sleep and cats play ", "ships sail while ships dock while ships sink "
+    _, parts = pieces(one * 6 + two * 6, 330, 0, block=7, least_fill=0.3)
+    assert parts[0][2] == len(one) * 6
+    # no gap in the second half of the room
+    early = one * 3 + two * 2 + "x" * 300
+    _, parts = pieces(early, 450, 0, block=7)
+    assert parts[0][2] == len(one) * 3
+
+
 def test_depth_is_zero_without_words():
     assert valley_depths("... !!! ???", [4, 8], 5).tolist() == [0, 0]
 
