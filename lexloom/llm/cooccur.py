@@ -1,10 +1,11 @@
 """Items that appear together: a pair table kept up to date by signed changes.
 
-State (a folder of Parquet tables, one generation per update): the distinct (basket, item) rows, the pair counts and the
-item counts, each hash-bucketed by its key. An update names whole baskets by their new content; the old content of just
-these baskets is read from the state. Their old pairs are emitted with -1, their new ones with +1, both summed before
-the shuffle, and only the buckets' totals are merged. Association is recomputed for the pairs whose counts, items or
-number of baskets changed; on a change of the number of baskets that is every pair.
+State (Parquet tables): the distinct (basket, item) rows, the pair counts and the item counts. The pair counts are kept in
+hash buckets of the pair. An update names whole baskets by their new content; the old content of just these baskets is
+read from the state. Their old pairs are emitted with -1, their new ones with +1, both summed before the shuffle; only
+the buckets that a pair with another count falls in are read and written again, the others stay as they are. The rows of
+the baskets and the item counts are rewritten whole by each update, and association is computed for every pair when it
+is asked for, as no score is kept.
 
 Skew: a basket's rows are made distinct with a partial aggregate, keyed by basket and item, before the pairs are formed,
 so a basket repeated a million times costs one row per item; pairs are summed map-side, so a hot item makes no hot task.
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from lexloom.runtime import Scratch
 
+#: Hash buckets of the pair counts.
+BUCKETS = 32
+
 
 def distinct_rows(df: DataFrame, basket: str, item: str) -> DataFrame:
     return df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
@@ -31,7 +35,7 @@ def signed_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, n): summed signs of the pairs within each basket, a < b."""
     other = rows.select("basket", "sign", F.col("item").alias("b"))
     pairs = rows.select("basket", "sign", F.col("item").alias("a")).join(other, ["basket", "sign"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum("sign").cast("long").alias("n"))
+    return pairs.groupBy("a", "b").agg(F.sum("sign").cast("long").alias("n")).where("n <> 0")
 
 
 @dataclass
@@ -47,6 +51,9 @@ class PairTable:
 
     def __init__(self, spark: SparkSession, scratch: Scratch, basket_type: str = "long", item_type: str = "long") -> None:
         self.spark, self.scratch, self.generation = spark, scratch, 0
+        #: The update that wrote each bucket last, and its table.
+        self.written: dict[int, int] = {}
+        self.tables: dict[int, DataFrame] = {}
         self.state = State(
             spark.createDataFrame([], f"basket {basket_type}, item {item_type}"),
             spark.createDataFrame([], f"a {item_type}, b {item_type}, n long"),
@@ -54,6 +61,37 @@ class PairTable:
             0,
         )
 
+    def _bucketed(self, buckets: set[int]) -> list[DataFrame]:
+        """The pair counts of these buckets."""
+        held: dict[int, list[int]] = {}
+        for bucket in sorted(buckets):
+            if bucket in self.written:
+                held.setdefault(self.written[bucket], []).append(bucket)
+        return [self.tables[g].where(F.col("bucket").isin(x)).select("a", "b", "n") for g, x in held.items()]
+
+    def _merge(self, delta: DataFrame) -> DataFrame:
+        """The pair counts after the changes in ``delta`` (a, b, n); only the buckets hit are written."""
+        g, bucket = self.generation, F.pmod(F.xxhash64("a", "b"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        delta = self.scratch.put(delta, f"delta{g}")
+        hit = {r["bucket"] for r in delta.select(bucket).distinct().collect()}
+        if hit:
+            rows = delta
+            for old in self._bucketed(hit):
+                rows = rows.unionByName(old)
+            merged = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").select("a", "b", "n", bucket)
+            path = f"{self.scratch.root}/pairs{g}"
+            merged.repartition("bucket").write.partitionBy("bucket").parquet(path)
+            self.tables[g] = self.spark.read.schema(merged.schema).parquet(path)
+            self.written |= dict.fromkeys(hit, g)
+            for gone in set(self.tables) - set(self.written.values()):
+                del self.tables[gone]
+                self.scratch.drop(f"pairs{gone}")
+        self.scratch.drop(f"delta{g}")
+        out = self.spark.createDataFrame([], delta.schema)
+        for part in self._bucketed(set(self.written)):
+            out = out.unionByName(part)
+        return out
+
     def update(self, changed: DataFrame, basket: str, item: str, gone: DataFrame | None = None) -> PairTable:
         """Replace the content of the baskets in ``changed``, and remove those of ``gone`` (its first column)."""
         self.generation += 1
@@ -69,12 +107,12 @@ class PairTable:
             old = self.state.baskets.join(touched, "basket", "left_semi")
             signed = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
             baskets = self.scratch.put(self.state.baskets.join(touched, "basket", "left_anti").unionByName(new), name("baskets"))
-        pairs = self.state.pairs.unionByName(signed_pairs(signed)).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+        pairs = self._merge(signed_pairs(signed))
         items = self.state.items.unionByName(signed.groupBy("item").agg(F.sum("sign").cast("long").alias("n"))).groupBy("item").agg(F.sum("n").alias("n")).where("n <> 0")
-        pairs, items = self.scratch.put(pairs, name("pairs")), self.scratch.put(items, name("items"))
+        items = self.scratch.put(items, name("items"))
         n = baskets.select("basket").distinct().count()
         if self.generation > 1:
-            self.scratch.drop(*[f"{x}{self.generation - 1}" for x in ("pairs", "items", "baskets", "new")])
+            self.scratch.drop(*[f"{x}{self.generation - 1}" for x in ("items", "baskets", "new")])
         self.state = State(baskets, pairs, items, n)
         return self
 

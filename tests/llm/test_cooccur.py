@@ -37,6 +37,20 @@ def test_updates_equal_a_count_from_scratch(spark):
     assert counts(table) == brute(rows)
 
 
+def test_only_the_buckets_hit_are_written(spark):
+    rows = [(b, i) for b in range(20) for i in (b, b + 1, b + 2)]
+    scratch = Scratch(spark, "test")
+    table = PairTable(spark, scratch).update(frame(spark, rows), "b", "i")
+    before = dict(table.written)
+    table.update(frame(spark, [(5, 5), (5, 6)]), "b", "i")
+    again = {k for k, g in table.written.items() if g != before.get(k)}
+    # the pairs (5, 7) and (6, 7) lost a basket
+    assert 1 <= len(again) <= 2 < len(before)
+    assert counts(table) == brute([r for r in rows if r != (5, 7)])
+    table.update(frame(spark, []), "b", "i", gone=frame(spark, [(b, None) for b in range(20)]).select("b"))
+    assert counts(table) == set()
+
+
 def test_scores_and_empty(spark):
     table = PairTable(spark, Scratch(spark, "test")).update(frame(spark, [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4)]), "b", "i")
     r = table.associations().first()
