@@ -1,107 +1,53 @@
 """Blocks of a document folded into clauses.
 
-The fold needs the blocks of a document in order and a small state: the clause that sub-labels hang off and the labels it
-has taken. Rows are partitioned by document and sorted, and the fold runs over the sorted stream, so a partition is never
-held as a whole. Empty headings are carried into the next clause with a body. Anchors are numbered by windows behind it.
+Every block is sorted into a kind by Spark's own functions. Which of the labels (a), (b), (i), (ii) go on with an
+enumeration depends on those taken before, so the rows are sorted by document and position and a stream of them passes a
+small counter, one document after the other. All else are windows: a running sum over the starts numbers the sections, the
+first row of a stretch between numbered headings names the parent of its labels, and sections without a body fall into the
+island of the next one that has a body.
 
 Repeated headings (three times or more in a document) are page furniture and start nothing. Null and blank blocks are
-skipped; blocks without document give no clause; ties in position are taken by id.
+skipped; blocks without document give no clause; ties in position are taken by id; headings behind the last body are lost.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 
+#: Roman numbers that count as labels: fixed values.
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
 REPEATED = 3
-_LETTERED = re.compile(r"^\(([a-z]{1,4})\)\s*(.*)$", re.I | re.S)
-
-
-def follows(taken: str | None, label: str) -> bool:
-    """Is a label the next one after the last label taken in a run of (a)(b)(c) or (i)(ii)(iii)."""
-    if taken is None:
-        return label in ("a", "i")
-    if len(taken) == len(label) == 1 and ord(label) == ord(taken) + 1:
-        return True
-    return taken in ROMAN[:-1] and label == ROMAN[ROMAN.index(taken) + 1]
-
-
-class Fold:
-    """Clauses of one document, block by block."""
-
-    def __init__(self) -> None:
-        self.parent: tuple[str, str] | None = None
-        self.label: str | None = None
-        self.open: dict | None = None
-        self.waiting: list[str] = []
-        self.count = 0
-
-    def start(self, number: str = "", heading: str = "", anchor: str | None = None) -> dict | None:
-        done = self.close()
-        self.open = {"number": number, "heading": heading, "anchor": anchor, "parts": []}
-        return done
-
-    def close(self) -> dict | None:
-        """The clause that ends here, if it has a body; a bare heading waits for the next body."""
-        section, self.open = self.open, None
-        if section is None:
-            return None
-        body = " ".join(" ".join(section["parts"]).split())
-        if not body:
-            if label := section["heading"] or section["number"]:
-                self.waiting.append(label)
-            return None
-        if self.waiting:
-            body, self.waiting = " ".join(". ".join([*self.waiting, body]).split()), []
-        section["text"], section["order"] = body, self.count
-        self.count += 1
-        return section
-
-    def add(self, text: str, heading: bool, number: str | None, anchor: str | None, rest: str | None) -> dict | None:
-        if number and (heading or not rest or rest[0].isupper()):
-            self.parent, self.label = (number, anchor), None
-            return self.start(number, rest or "", anchor)
-        marked = _LETTERED.match(text)
-        if marked and follows(self.label, marked.group(1).lower()):
-            self.label, rest = marked.group(1).lower(), marked.group(2).strip()
-            done = self.start(f"{self.parent[0] if self.parent else ''}({self.label})", "", f"{self.parent[1]}-{self.label}" if self.parent else None)
-            if rest and len(rest) <= 60 and rest[-1] not in ".;,:":
-                self.open["heading"] = rest
-            elif rest:
-                self.open["parts"].append(rest)
-            return done
-        if heading:
-            self.parent, self.label = None, None
-            return self.start(heading=text)
-        if self.open is None:
-            self.open = {"number": "", "heading": "", "anchor": None, "parts": []}
-        self.open["parts"].append(text)
-        return None
-
-
-def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    doc, fold = None, Fold()
-    columns = ["doc_slug", "number", "heading", "anchor_base", "text", "order_index"]
-    row = lambda x: (doc, x["number"], x["heading"], x["anchor"], x["text"], x["order"])
+#: A label in brackets at the start of a block, of at most four letters: fixed value.
+LABEL = r"(?is)^\(([a-z]{1,4})\)\s*(.*)$"
+NONE = -9
+
+
+def ordinals(label: Column) -> tuple[Column, Column]:
+    """A label's place in each of the two numberings, NONE where it has none: (b) is the second letter, (ii) the second Roman number."""
+    letter = F.when(F.length(label) == 1, F.ascii(label) - F.ascii(F.lit("a")) + 1).otherwise(NONE)
+    place = F.array_position(F.array(*[F.lit(x) for x in ROMAN]), label).cast("int")
+    return letter, F.when(place > 0, place).otherwise(NONE)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sorted rows whether their label is the next one in either numbering since the last heading."""
+    doc, last = None, (0, 0)
     for batch in batches:
-        out = []
-        for slug, text, heading, number, anchor, rest in zip(batch["doc_slug"], batch["text"], batch["is_heading"], batch["number"], batch["anchor"], batch["rest"]):
+        taken = []
+        for slug, start, letter, roman in zip(*(batch.column(c).to_pylist() for c in ("doc_slug", "resets", "letter", "roman"))):
             if slug != doc:
-                if last := fold.close():
-                    out.append(row(last))
-                doc, fold = slug, Fold()
-            if done := fold.add(text, bool(heading), number, anchor, rest):
-                out.append(row(done))
-        yield pd.DataFrame(out, columns=columns)
-    if last := fold.close():
-        yield pd.DataFrame([row(last)], columns=columns)
+                doc, last = slug, (0, 0)
+            fits = letter is not None and (letter == last[0] + 1 or roman == last[1] + 1)
+            if fits or start:
+                last = (letter, roman) if fits else (0, 0)
+            taken.append(fits)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], [*batch.schema.names, "taken"])
 
 
 def noisy_headings(blocks: DataFrame) -> DataFrame:
@@ -118,15 +64,55 @@ def numbered(clauses: DataFrame, key: str, base: str, order: str, name: str) ->
     return named.withColumn(name, F.when(again == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-x"), again.cast("string"))))
 
 
+def _kinds(blocks: DataFrame) -> DataFrame:
+    """Blocks in order (_at) with what they may start: numbered and plain headings, and labels that go on an enumeration."""
+    b = blocks.where("doc_slug is not null").select("id", "doc_slug", "pos", "kind", F.trim("text").alias("text")).where("text <> ''")
+    b = b.join(noisy_headings(b).withColumn("noisy", F.lit(True)), ["doc_slug", "text"], "left")
+    head, n = (F.col("kind") == "heading") & F.col("noisy").isNull(), T.clause_number(F.col("text"))
+    b = b.select("doc_slug", "pos", "id", "text", F.coalesce(head, F.lit(False)).alias("head"), n.alias("n"), F.lower(F.regexp_extract("text", LABEL, 1)).alias("label"))
+    # a number in running prose starts nothing
+    titled = (F.col("n.rest") == "") | F.substring("n.rest", 1, 1).rlike(r"\p{Lu}")
+    b = b.withColumn("numbered", F.col("n").isNotNull() & (F.col("head") | titled))
+    b = b.withColumn("resets", F.col("numbered") | F.col("head"))
+    labelled, (letter, roman) = (F.col("label") != "") & ~F.col("numbered"), ordinals(F.col("label"))
+    rows = b.select("doc_slug", "pos", "id", "text", "head", "numbered", "resets", F.col("n.number").alias("number"), F.col("n.anchor").alias("anchor"), F.col("n.rest").alias("rest"), F.when(labelled, F.col("label")).alias("label"), F.when(labelled, letter).alias("letter"), F.when(labelled, roman).alias("roman"))
+    rows = rows.repartition("doc_slug").sortWithinPartitions("doc_slug", "pos", "id")
+    return rows.mapInArrow(_taken, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", taken boolean")
+
+
 def segment(blocks: DataFrame) -> DataFrame:
     """(doc_slug, anchor, ref, number, heading, text, order_index) of blocks (id, doc_slug, pos, kind, text)."""
-    b = blocks.where("doc_slug is not null").select("id", "doc_slug", "pos", "kind", F.trim("text").alias("text")).where("text <> ''")
-    noisy = noisy_headings(b).withColumn("noisy", F.lit(True))
-    n = T.clause_number(F.col("text"))
-    b = b.join(noisy, ["doc_slug", "text"], "left").withColumn("is_heading", (F.col("kind") == "heading") & F.col("noisy").isNull())
-    b = b.select("doc_slug", "pos", "id", "text", "is_heading", n.getField("number").alias("number"), n.getField("anchor").alias("anchor"), n.getField("rest").alias("rest"))
-    ordered = b.repartition("doc_slug").sortWithinPartitions("doc_slug", "pos", "id").select("doc_slug", "text", "is_heading", "number", "anchor", "rest")
-    c = ordered.mapInPandas(_folded, "doc_slug string, number string, heading string, anchor_base string, text string, order_index int")
+    b = _kinds(blocks)
+    # a heading with a label that goes on no enumeration is a plain heading
+    plain = F.col("head") & ~F.col("numbered") & ~F.col("taken")
+    upto = Window.partitionBy("doc_slug").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("section", F.count_if(F.col("numbered") | plain | F.col("taken")).over(upto)).withColumn("stretch", F.count_if(F.col("numbered") | plain).over(upto))
+    first = Window.partitionBy("doc_slug", "stretch").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, 0)
+    parent = lambda c: F.first(F.when(F.col("numbered"), F.col(c))).over(first)
+    b = b.withColumn("_number", parent("number")).withColumn("_anchor", parent("anchor"))
+    inner = F.trim(F.regexp_extract("text", LABEL, 2))
+    short = T.is_sub_heading(inner)
+    number = F.when(F.col("numbered"), F.col("number")).when(F.col("taken"), F.concat(F.coalesce("_number", F.lit("")), F.lit("("), "label", F.lit(")")))
+    anchor = F.when(F.col("numbered"), F.col("anchor")).when(F.col("taken"), F.concat("_anchor", F.lit("-"), "label"))
+    heading = F.when(F.col("numbered"), F.col("rest")).when(F.col("taken"), F.when(short, inner)).when(plain, F.col("text"))
+    body = F.when(F.col("taken"), F.when(~short, inner)).when(~(F.col("numbered") | plain), F.col("text"))
+    lines = b.select("doc_slug", "section", "pos", "id", (F.col("numbered") | plain | F.col("taken")).alias("_starts"), F.coalesce(number, F.lit("")).alias("number"), anchor.alias("anchor_base"), F.coalesce(heading, F.lit("")).alias("heading"), body.alias("body"))
+    opened = F.max(F.when(F.col("_starts"), F.struct("number", "anchor_base", "heading")))
+    words = F.transform(F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("pos", "id", "body")))), lambda x: x.getField("body"))
+    c = lines.groupBy("doc_slug", "section").agg(opened.alias("_o"), T.collapse_whitespace(F.array_join(words, " ")).alias("body"))
+    c = c.select("doc_slug", "section", F.coalesce("_o.number", F.lit("")).alias("number"), F.col("_o.anchor_base").alias("anchor_base"), F.coalesce("_o.heading", F.lit("")).alias("heading"), "body")
+    return _carried(c)
+
+
+def _carried(c: DataFrame) -> DataFrame:
+    """Sections (doc_slug, section, number, heading, anchor_base, body) as clauses: those without a body go before the next body."""
+    before = Window.partitionBy("doc_slug").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("order_index", F.coalesce(F.count_if(F.col("body") != "").over(before), F.lit(0)).cast("int"))
+    name = F.when(F.col("body") == "", F.coalesce(F.nullif("heading", F.lit("")), F.nullif("number", F.lit(""))))
+    waiting = F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("section", name.alias("name")))))
+    held = F.max(F.when(F.col("body") != "", F.struct("number", "heading", "anchor_base", "body")))
+    c = c.groupBy("doc_slug", "order_index").agg(held.alias("_h"), F.transform(waiting, lambda x: x.getField("name")).alias("_names")).where("_h is not null")
+    c = c.select("doc_slug", "_h.number", "_h.heading", "_h.anchor_base", T.collapse_whitespace(F.array_join(F.concat("_names", F.array("_h.body")), ". ")).alias("text"), "order_index")
     named = F.coalesce("anchor_base", F.nullif(T.slugify(F.col("heading"), 40), F.lit("")), F.concat(F.lit("s"), F.col("order_index").cast("string")))
     c = numbered(c.withColumn("_base", named), "doc_slug", "_base", "order_index", "anchor")
     return c.select("doc_slug", "anchor", F.concat_ws("#", "doc_slug", "anchor").alias("ref"), "number", "heading", "text", "order_index")
