@@ -41,6 +41,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.labelled(neardup.near_copies(read(spark, sf_dir, "clauses"), "id", "text", scratch), scratch)
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per clause as in p2_groups, with the words and the bound of p2_found."""
+    scratch = Scratch(spark, "neardup")
+    return neardup.labelled(neardup.near_copies(read(spark, sf_dir, "clauses"), "id", "text", scratch, CLAUSE_COPIES), scratch)
+
+
 #: Problem 4: text column and limit of each table; the overlap is the same for both.
 LIMITS, OVERLAP = {"clauses": ("text", 2_000), "parliament_items": ("body_text", 4_000)}, 200
 
@@ -162,7 +168,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_groups, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_classes, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
 }
 
 _PAIRS = """
