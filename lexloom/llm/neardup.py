@@ -58,7 +58,7 @@ class Settings:
     threshold: float = 0.8
     min_words: int = 5
     sketch: int = 48
-    list_limit: int = 8
+    list_limit: int = 4
     slack: float = 3.0
     few: int = 24
 
@@ -188,6 +188,31 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
+def _coarse(reps: DataFrame) -> DataFrame:
+    """(rep, n, held): the sketches in 16 bits a value, 5 for its size and 11 for its first digits, as only these are sent to other texts.
+
+    The order is kept and equal values stay equal, so a pair shares as many values or, once in a while, one more.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, size = _flat(batch["sketch"])
+            fraction, power = np.frexp(value.astype(np.float64) + 2**31)
+            short = np.where(power > 0, (power - 1) * 2048 + ((fraction - 0.5) * 4096).astype(np.int64), 0).astype(np.uint16)
+            ends = np.concatenate(([0], np.cumsum(2 * size))).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(short)])
+            yield pa.RecordBatch.from_arrays([batch["rep"], batch["n"], held], ["rep", "n", "held"])
+
+    return reps.select("rep", "n", "sketch").mapInArrow(rows, "rep long, n int, held binary")
+
+
+def _held(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(coarse values end to end, size of each list)."""
+    blobs = blobs.combine_chunks() if isinstance(blobs, pa.ChunkedArray) else blobs
+    ends = np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].view(np.uint16).astype(np.int64), np.diff(ends) // 2
+
+
 # ---- candidates -------------------------------------------------------------------------------------------------
 
 
@@ -269,7 +294,7 @@ def _passing(rep: np.ndarray, n: np.ndarray, flat: np.ndarray, size: np.ndarray,
     held[np.repeat(np.arange(len(rep)), size)[more], (np.cumsum(met) - 1)[at[more]]] = 1
     i = np.flatnonzero(left)
     j = i if len(i) == len(rep) else np.flatnonzero(~left)
-    last = np.where(n > s.sketch, flat[ends - 1], 2**31 - 1)
+    last = np.where(n > s.sketch, flat[ends - 1], 1 << 16)
     # of each row the values up to the other's last one
     upto = lambda x, y: np.array([np.searchsorted(parts[k], last[y], "right") for k in x]).reshape(len(x), len(y))
     shared = held[i] @ held[j].T
@@ -291,7 +316,7 @@ def _block_pairs(longer: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
             rep, n, left = (t[c].to_numpy() for c in ("rep", "n", "_left"))
-            flat, size = _flat(t["sketch"])
+            flat, size = _held(t["held"])
             begin = np.concatenate(([0], np.cumsum(size)))
             out = [_passing(rep[x:y], n[x:y], flat[begin[x] : begin[y]], size[x:y], left[x:y], s) for x, y in zip(bounds[:-1], bounds[1:])]
             a, b = (np.concatenate([o[k] for o in out] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
@@ -320,16 +345,17 @@ def _block_pairs(longer: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
     met = held.withColumn("_own", F.pmod(F.xxhash64("rep", "run"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     x, y = F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y")
-    sent = met.select("run", x, y, (F.col("_own") <= F.col("_other")).alias("_left"), "rep", "n", "sketch")
+    sent = met.select("run", x, y, (F.col("_own") <= F.col("_other")).alias("_left"), "rep", "n", "held")
     return sent.repartition("run", "_x", "_y").sortWithinPartitions("run", "_x", "_y").mapInArrow(rows, "a long, b long")
 
 
 def candidates(reps: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Distinct pairs of classes that meet in a list and pass the estimate."""
     met = scratch.put(_lists(runs(reps, s).repartition("run").sortWithinPartitions("run"), s), "met")
-    short = _estimated(met.where("run is null").select("a", "b").distinct(), reps, s)
+    held = _coarse(reps)
+    short = scratch.put(_estimated(met.where("run is null").select("a", "b").distinct(), held, s), "short")
     longer = met.where("run is not null").select("run", F.col("a").alias("rep"))
-    return short.unionByName(_block_pairs(longer, reps, s)).distinct()
+    return short.unionByName(scratch.put(_block_pairs(longer, held, s), "longer")).distinct()
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
@@ -343,23 +369,23 @@ def _estimated(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             n, keys, tops, held = [], [], [], []
             for x in "ab":
-                flat, size = _flat(batch[f"s_{x}"])
+                flat, size = _held(batch[f"s_{x}"])
                 n.append(batch[f"n_{x}"].to_numpy())
-                tops.append(np.where(n[-1] > s.sketch, flat[np.cumsum(size) - 1], 2**31 - 1))
-                keys.append((np.repeat(np.arange(len(size)), size), flat.astype(np.int64), size))
+                tops.append(np.where(n[-1] > s.sketch, flat[np.cumsum(size) - 1], 1 << 16))
+                keys.append((np.repeat(np.arange(len(size)), size), flat, size))
             top = np.minimum(*tops)
             for pair, flat, size in keys:
                 held.append(np.bincount(pair[flat <= np.repeat(top, size)], minlength=len(batch)))
             # both are in order, so the sort is a merge
-            every = np.sort(np.concatenate([(pair << 32) + flat for pair, flat, _ in keys]), kind="stable")
-            shared = np.bincount((every[1:][every[1:] == every[:-1]] + (1 << 31)) >> 32, minlength=len(batch))
+            every = np.sort(np.concatenate([(pair << 16) + flat for pair, flat, _ in keys]), kind="stable")
+            shared = np.bincount(every[1:][every[1:] == every[:-1]] >> 16, minlength=len(batch))
             union = held[0] + held[1] - shared
             most, least = np.maximum(*n), np.minimum(*n)
             slack = np.where(most > s.sketch, s.slack * np.sqrt(s.threshold * (1 - s.threshold) / np.maximum(union, 1)), 0.0)
             near = (least >= most * s.threshold - 1e-9) & (shared >= union * (s.threshold - slack) - 1e-6)
             yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("held").alias(f"s_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(rows, "a long, b long")
 
 
