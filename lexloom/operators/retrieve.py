@@ -1,20 +1,27 @@
 """Hybrid retrieval: BM25 with capped idf plus a bonus for shared concepts, per-item top-k, gate and budget.
 
-Everything is relational: postings, document frequencies and query terms are aggregates, scores come from one join on the
-term. Only terms that a query picked (40 per item) reach the join, and only clauses that share a term or a concept with
-an item are scored. Scores are rounded to four places before they rank, so that the order of float sums doesn't matter.
-
-An item with fewer than k scoring clauses gets fewer rows. An empty corpus or one without any token gives none.
+Terms, document frequencies and query terms are aggregates. With the idf capped, common terms make almost every clause a
+candidate of every item, so pairs are never rows: clauses and items are spread over blocks by a hash of their id, every
+block of items meets every block of clauses in a task of bounded size that adds up the scores in arrays, and only its k
+best clauses of each item leave it. The best of all blocks are merged by a window.
+
+Scores are rounded to four places before they rank, so that the order of float sums doesn't matter; ties go by ref, then id.
+A clause that shares nothing with an item scores 0, so every item gets k clauses, or all there are. An empty corpus gives
+none. Terms and concepts are known by a 64-bit hash in the tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.runtime import Scratch
 
 
 @dataclass(frozen=True)
@@ -30,7 +37,8 @@ class Settings:
     k: int = 5
     least_score: float = 20.0
     budget: int = 15
-    sent_postings: int = 2_000_000
+    clause_block: int = 4_096
+    item_block: int = 1_024
 
 
 def readable(clauses: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -65,16 +73,77 @@ def query_terms(items: DataFrame, idf: DataFrame, s: Settings) -> DataFrame:
     return counted.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= s.query_terms).select("item_id", "term", "idf", "avgdl")
 
 
-def bm25(terms: DataFrame, post: DataFrame, s: Settings) -> DataFrame:
-    """(item_id, id, bm25).
-
-    Common terms make far more pairs than items or postings, so the pairs should not be shuffled: while the postings are
-    few they are sent to the items, which then add up their own scores where they are; else both sides meet by term.
+def weights(post: DataFrame, idf: DataFrame, s: Settings) -> DataFrame:
+    """(id, key, weight): what a term adds to a clause's score for each unit of its idf."""
+    size = idf.agg(F.max("avgdl").alias("avgdl"))
+    weight = F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / F.col("avgdl")))
+    return post.join(F.broadcast(size), F.lit(True)).select("id", F.xxhash64("term").alias("key"), weight.alias("weight"))
+
+
+def _best(k: int, bonus: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best clauses of a block of clauses for each item of a block of items, by dense sums over some items at a time."""
+
+    def best(clauses: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        columns = ["item_id", "clause_id", "ref", "bm25", "shared"]
+        own = clauses[clauses["key"].isna()].assign(ref=lambda d: d["ref"].fillna("")).sort_values(["ref", "id"])
+        asked = items["item_id"].drop_duplicates().sort_values().to_numpy()
+        n = len(own)
+        if not n or not len(asked):
+            return pd.DataFrame([], columns=columns)
+        ids, refs = own["id"].to_numpy(), own["ref"].to_numpy()
+        place = pd.Series(np.arange(n), index=ids)
+        post = clauses[clauses["key"].notna()]
+        key, where = post["key"].to_numpy(dtype=np.int64), place.reindex(post["id"]).to_numpy(dtype=np.int64)
+        order = np.argsort(key, kind="stable")
+        key, where, weight = key[order], where[order], post["weight"].to_numpy(dtype=float)[order]
+        query = items[items["key"].notna()]
+        row, wanted = np.searchsorted(asked, query["item_id"].to_numpy()), query["key"].to_numpy(dtype=np.int64)
+        # terms first, concepts behind them: a concept has no idf
+        idf, named = query["idf"].to_numpy(dtype=float), query["idf"].isna().to_numpy()
+        begin = np.searchsorted(key, wanted, "left")
+        many = np.searchsorted(key, wanted, "right") - begin
+        out = []
+        step = max(1, (1 << 19) // n)
+        for first in range(0, len(asked), step):
+            inside = (row >= first) & (row < first + step) & (many > 0)
+            rows = min(step, len(asked) - first)
+            size = many[inside]
+            at = np.arange(int(size.sum())) + np.repeat(begin[inside] - np.cumsum(size) + size, size)
+            cell = np.repeat(row[inside] - first, size) * n + where[at]
+            concept = np.repeat(named[inside], size)
+            text = np.bincount(cell[~concept], weight[at[~concept]] * np.repeat(idf[inside], size)[~concept], rows * n).reshape(rows, n).round(4)
+            both = np.bincount(cell[concept], minlength=rows * n).reshape(rows, n)
+            score = (text + bonus * both).round(4)
+            keep = min(k, n)
+            least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+            i, j = np.nonzero(score >= least[:, None])
+            ranked = np.lexsort((j, -score[i, j], i))
+            i, j = i[ranked], j[ranked]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < keep
+            i, j = i[top], j[top]
+            out.append(pd.DataFrame({"item_id": asked[first + i], "clause_id": ids[j], "ref": refs[j], "bm25": text[i, j], "shared": both[i, j]}))
+        return pd.concat(out)[columns]
+
+    return best
+
+
+def best_in_blocks(corpus: DataFrame, clause_keys: DataFrame, items: DataFrame, item_keys: DataFrame, s: Settings) -> DataFrame:
+    """(item_id, clause_id, ref, bm25, shared): at least the k best of each item, some from each block of clauses.
+
+    clause_keys: (id, key, weight), item_keys: (item_id, key, idf); keys without an idf count as shared concepts.
     """
-    part = F.col("idf") * F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1 * (1 - s.b + s.b * F.col("dl") / F.col("avgdl")))
-    few = post.limit(s.sent_postings + 1).count() <= s.sent_postings
-    joined = terms.repartition("item_id").join(F.broadcast(post), "term") if few else terms.join(post, "term")
-    return joined.groupBy("item_id", "id").agg(F.sum(part).alias("bm25"))
+    n_clauses, n_items = corpus.count(), items.count()
+    clause_blocks, item_blocks = max(1, -(-n_clauses // s.clause_block)), max(1, -(-n_items // s.item_block))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = clause_keys.join(item_keys.select("key").distinct(), "key", "left_semi")
+    left = corpus.select("id", "ref", none("long").alias("key"), none("double").alias("weight")).unionByName(asked.select("id", none("string").alias("ref"), "key", "weight"))
+    right = items.select(F.col("id").alias("item_id"), none("long").alias("key"), none("double").alias("idf")).unionByName(item_keys.select("item_id", "key", "idf"))
+    left = left.withColumn("_c", spread("id", clause_blocks)).withColumn("_i", every(item_blocks))
+    right = right.withColumn("_i", spread("item_id", item_blocks)).withColumn("_c", every(clause_blocks))
+    met = left.groupBy("_c", "_i").cogroup(right.groupBy("_c", "_i"))
+    return met.applyInPandas(_best(s.k, s.concept_bonus), "item_id long, clause_id long, ref string, bm25 double, shared long")
 
 
 def clause_tags(edges: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -85,38 +154,46 @@ def clause_tags(edges: DataFrame, concepts: DataFrame) -> DataFrame:
 def item_tags(items: DataFrame, concepts: DataFrame, tags: DataFrame, s: Settings) -> DataFrame:
     """Distinct (item_id, slug): concepts named in an item's title or body.
 
-    Runs of words of the text meet the concepts' words in an equi-join; the concept's pattern then decides, as a run of
-    letters alone doesn't see digits between the words.
+    The distinct words of a text meet the words of the concepts' names in an equi-join; only texts that hold all words of a
+    name are searched for its pattern.
     """
     used = tags.groupBy("slug").agg(F.count("*").alias("n")).where(F.col("n") >= s.least_concept_clauses).select("slug")
-    named = concepts.join(used, "slug").select("slug", T.concept_pattern(F.col("name")).alias("pattern"), F.regexp_extract_all(F.lower("name"), F.lit("[a-z]+"), F.lit(0)).alias("words")).where("pattern is not null")
-    key = F.array_join("words", " ")
-    keys = named.select("slug", "pattern", F.explode(F.array(key, F.concat(key, F.lit("s")))).alias("run"), F.size("words").alias("width"))
+    letters = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    named = concepts.join(used, "slug").select("slug", T.concept_pattern(F.col("name")).alias("pattern"), F.array_distinct(letters("name")).alias("words"), F.element_at(letters("name"), -1).alias("last")).where("pattern is not null")
+    # the last word may have an s behind it
+    slots = named.select("slug", "pattern", F.size("words").alias("n_words"), "last", F.explode("words").alias("slot"))
+    keys = slots.select("slug", "pattern", "n_words", "slot", F.explode(F.array_distinct(F.array("slot", F.when(F.col("slot") == F.col("last"), F.concat("slot", F.lit("s"))).otherwise(F.col("slot"))))).alias("word"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit("")))
-    words = items.select(F.col("id").alias("item_id"), text.alias("text"), F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    runs = words.select("item_id", F.posexplode("words").alias("at", "_w"), "words")
-    # no run is longer than the longest name
-    longest = keys.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]
-    widths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at")))
-    runs = runs.select("item_id", F.explode(F.transform(widths, lambda w: F.array_join(F.slice("words", F.col("at") + 1, w), " "))).alias("run"))
-    met = runs.join(F.broadcast(keys), "run").select("item_id", "slug", "pattern").distinct()
-    return met.join(words.select("item_id", "text"), "item_id").where(F.expr("regexp_like(text, pattern)")).select("item_id", "slug").distinct()
-
-
-def ranked(items: DataFrame, clauses: DataFrame, contracts: DataFrame, concepts: DataFrame, edges: DataFrame, s: Settings | None = None) -> DataFrame:
-    """(item_id, rank, clause_id, bm25, shared, score): the k best clauses of each item."""
+    texts = items.select(F.col("id").alias("item_id"), text.alias("text"))
+    words = texts.select("item_id", F.explode(F.array_distinct(letters("text"))).alias("word"))
+    # an item may stand in several rows; its words count once
+    held = words.join(keys, "word").groupBy("item_id", "slug", "pattern", "n_words").agg(F.countDistinct("slot").alias("n")).where("n = n_words")
+    return texts.join(held, "item_id").where(F.expr("regexp_like(text, pattern)")).select("item_id", "slug").distinct()
+
+
+def declared_tags(pages: DataFrame) -> DataFrame:
+    """Distinct (item_id, slug): concepts that the front matter of rendered items (item_id, markdown) lists; pages without one list none."""
+    head = F.regexp_extract("markdown", r"(?s)\A---\n(.*?)\n---", 1)
+    listed = F.regexp_extract(head, r"(?m)^concepts: \[(.*)\]$", 1)
+    return pages.select("item_id", F.explode(F.split(listed, r"\s*,\s*")).alias("slug")).where("slug rlike '^[a-z0-9-]+$'").distinct()
+
+
+def ranked(items: DataFrame, clauses: DataFrame, contracts: DataFrame, concepts: DataFrame, edges: DataFrame, s: Settings | None = None, declared: DataFrame | None = None) -> DataFrame:
+    """(item_id, rank, clause_id, bm25, shared, score): the k best clauses of each item. declared: (item_id, slug), concepts of items beside those named in them."""
     s = s or Settings()
-    corpus = readable(clauses, contracts)
-    post = postings(corpus)
-    hits = bm25(query_terms(items, idf_table(post, corpus, s), s), post, s)
+    scratch = Scratch(items.sparkSession, "retrieve")
+    corpus = readable(clauses, contracts).select("id", "ref", "text")
+    post = scratch.put(postings(corpus), "postings")
+    idf = scratch.put(idf_table(post, corpus, s), "idf")
     tags = clause_tags(edges, concepts)
     own = item_tags(items, concepts, tags, s)
-    # one row per pair of item and clause that share a concept
-    shared = own.join(tags.join(corpus.select("id"), "id", "left_semi"), "slug").groupBy("item_id", "id").agg(F.count("*").alias("shared"))
-    both = hits.join(shared, ["item_id", "id"], "full_outer").select("item_id", "id", F.round(F.coalesce("bm25", F.lit(0.0)), 4).alias("bm25"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
-    both = both.withColumn("score", F.round(F.col("bm25") + s.concept_bonus * F.col("shared"), 4))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "id")
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= s.k).select("item_id", "rank", F.col("id").alias("clause_id"), "bm25", "shared", "score")
+    own = own if declared is None else own.unionByName(declared.select("item_id", "slug")).distinct()
+    concept = F.xxhash64(F.lit("concept"), "slug").alias("key")
+    clause_keys = weights(post, idf, s).unionByName(tags.join(corpus.select("id"), "id", "left_semi").select("id", concept, F.lit(0.0).alias("weight")))
+    item_keys = scratch.put(query_terms(items, idf, s).select("item_id", F.xxhash64("term").alias("key"), "idf").unionByName(own.select("item_id", concept, F.lit(None).cast("double").alias("idf"))), "asked")
+    hits = best_in_blocks(corpus, clause_keys, items, item_keys, s).withColumn("score", F.round(F.col("bm25") + s.concept_bonus * F.col("shared"), 4))
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "ref", "clause_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= s.k).select("item_id", "rank", "clause_id", "bm25", "shared", "score")
 
 
 def gated(ranks: DataFrame, items: DataFrame, s: Settings | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -32,25 +33,51 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one run. Each put() cuts the lineage and lets Spark drop the shuffle files behind it.
 
-    The tables survive the loss of executors; drop() removes all but the named ones.
+    The tables survive the loss of executors. drop() removes tables that nothing reads any more; what is left, as a result
+    may still read it, is removed by close(), at the end of a with block or when the driver ends.
     """
 
+    _open: set[Scratch] = set()
+
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        Scratch._open.add(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        # shuffle files go when the plans that made them are collected; Spark by itself does that every half hour
         del df
-        gc.collect()
+        gc.collect(0)
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.parquet(path)
 
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def close(self) -> None:
+        Scratch._open.discard(self)
+        self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+
+@atexit.register
+def _close_all() -> None:
+    for scratch in list(Scratch._open):
+        try:
+            scratch.close()
+        except Exception:  # noqa: BLE001  the session is gone, and its folder is the cluster's to clean
+            return
 
 
 def partitions(spark: SparkSession) -> int:

@@ -56,10 +56,14 @@ def concept_pages(concepts: DataFrame, clauses: DataFrame, tags: DataFrame) -> D
     return out.select("slug", T.finalize(F.concat(head, F.lit("\n\n# "), F.coalesce("name", "slug"), F.lit("\n\n"), F.trim(F.coalesce("description", F.lit(""))), F.lit("\n\n"), F.coalesce("listing", F.lit("")))).alias("markdown"))
 
 
-def item_pages(items: DataFrame) -> DataFrame:
-    """(id, markdown): each item with its body, else its summary."""
+def item_pages(items: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """(id, markdown): each item with its body, else its summary. tags: (item_id, slug), the concepts of its front matter."""
+    slugs = F.expr("cast(array() as array<string>)")
+    if tags is not None:
+        listed = tags.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_set("slug")).alias("_slugs"))
+        items, slugs = items.join(listed, "id", "left"), F.coalesce("_slugs", slugs)
     day = T.iso_date(F.col("sitting_date"))
-    head = front_matter(**{"title": T.yaml_scalar(F.col("title")), "slug": T.yaml_scalar(F.col("slug")), "sitting_date": T.yaml_scalar(day), "item_type": T.yaml_scalar(F.col("item_type")), "speaker": T.yaml_scalar(F.col("speaker")), "url": T.yaml_scalar(F.col("url"))})
+    head = front_matter(**{"title": T.yaml_scalar(F.col("title")), "slug": T.yaml_scalar(F.col("slug")), "sitting_date": T.yaml_scalar(day), "item_type": T.yaml_scalar(F.col("item_type")), "speaker": T.yaml_scalar(F.col("speaker")), "url": T.yaml_scalar(F.col("url")), "concepts": yaml_list(slugs)})
     body = F.coalesce(F.nullif(F.trim("body_text"), F.lit("")), F.col("summary"), F.lit(""))
     return items.select("id", T.finalize(F.concat(head, F.lit("\n\n# "), F.coalesce("title", "slug", F.lit("")), F.lit("\n\n"), body)).alias("markdown"))
 

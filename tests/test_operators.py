@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def test_upsert_twice_is_once(spark):
 
 
 def corpus(spark, texts, edges=()):
-    clauses = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "id long, document_id long, text string")
+    clauses = spark.createDataFrame([(i, 1, f"d#{i}", t) for i, t in enumerate(texts)], "id long, document_id long, ref string, text string")
     contracts = spark.createDataFrame([(1, None)], "id long, parse_error string")
     concepts = spark.createDataFrame([(1, "notice-period", "Notice Period"), (2, "rent", "Rent")], "id long, slug string, name string")
     edges = spark.createDataFrame(list(edges), "clause_id long, concept_id long")
@@ -92,8 +94,27 @@ def test_ranking_prefers_the_clause_in_question(spark):
 def test_concepts_add_a_bonus_and_need_two_clauses(spark):
     texts = ["alpha", "beta", "gamma", "delta", "epsilon"]
     got = retrieve.ranked(items(spark, "On notice, periods matter. Notice periods 2 rent"), *corpus(spark, texts, [(1, 1), (2, 1), (2, 1), (3, 2), (4, 2)])).collect()
-    assert [(r["clause_id"], r["shared"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 3.0), (2, 1, 3.0)]
-    assert retrieve.ranked(items(spark, "notice period"), *corpus(spark, texts, [(1, 1)])).count() == 0
+    # clauses that share nothing fill the list up by ref
+    assert [(r["clause_id"], r["shared"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 3.0), (2, 1, 3.0), (0, 0, 0.0), (3, 0, 0.0), (4, 0, 0.0)]
+    assert {r["score"] for r in retrieve.ranked(items(spark, "notice period"), *corpus(spark, texts, [(1, 1)])).collect()} == {0.0}
+
+
+def test_declared_concepts_count_like_named_ones(spark):
+    declared = spark.createDataFrame([(0, "notice-period")], "item_id long, slug string")
+    got = retrieve.ranked(items(spark, "nothing"), *corpus(spark, ["a", "beta", "gamma"], [(1, 1), (2, 1)]), retrieve.Settings(k=2), declared).collect()
+    assert sorted((r["rank"], r["clause_id"], r["score"]) for r in got) == [(1, 1, 3.0), (2, 2, 3.0)]
+    pages = spark.createDataFrame([(0, "---\ntitle: x\nconcepts: [notice-period, b]\n---\n\n# x\n"), (1, "---\ntitle: x\n---\n\nconcepts: [c]\n"), (2, None), (3, "---\nconcepts: []\n---\n")], "item_id long, markdown string")
+    assert sorted(map(tuple, retrieve.declared_tags(pages).collect())) == [(0, "b"), (0, "notice-period")]
+
+
+def test_blocks_do_not_change_the_ranking(spark):
+    draw = random.Random(3)
+    words = ["parrot", "insurance", "deposit", "monthly", "damage", "garden", "ceiling", "water"]
+    texts = [" ".join(draw.choices(words, k=draw.randint(0, 9))) for _ in range(60)]
+    asked = items(spark, *[" ".join(draw.choices(words, k=3)) for _ in range(17)], "")
+    tables = corpus(spark, texts, [(draw.randrange(60), 1) for _ in range(9)])
+    whole, cut = (sorted(map(tuple, retrieve.ranked(asked, *tables, s).collect())) for s in (retrieve.Settings(), retrieve.Settings(clause_block=7, item_block=4)))
+    assert whole == cut and len(whole) == 18 * 5
 
 
 def test_no_corpus_no_candidates(spark):
