@@ -48,7 +48,7 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         # shuffle files go when the plans that made them are collected; Spark by itself does that every half hour
         del df
-        gc.collect(0)
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.parquet(path)
 
