@@ -355,7 +355,11 @@ def candidates(reps: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     held = _coarse(reps)
     short = scratch.put(_estimated(met.where("run is null").select("a", "b").distinct(), held, s), "short")
     longer = met.where("run is not null").select("run", F.col("a").alias("rep"))
-    return short.unionByName(scratch.put(_block_pairs(longer, held, s), "longer")).distinct()
+    longer = scratch.put(_block_pairs(longer, held, s), "longer")
+    scratch.drop("met")
+    near = scratch.put(short.unionByName(longer).distinct(), "near")
+    scratch.drop("short", "longer")
+    return near
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
@@ -439,8 +443,9 @@ def near_copies(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, set
     few = copies.limit(SENT_IDS + 1).count() <= SENT_IDS
     single = rows.join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti")
     reps = scratch.put(sketches(single, s), "reps")
-    near = scratch.put(candidates(reps, s, scratch), "near")
+    near = candidates(reps, s, scratch)
     links = scratch.put(_verified(near, single.select(F.col("id").alias("rep"), "_text"), s), "links")
+    scratch.drop("near")
     own = reps.select(F.col("rep").alias("id"), "rep")
     return NearCopies(own, copies.join(own.select("rep"), "rep", "left_semi").select("id", "rep"), links)
 

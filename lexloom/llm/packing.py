@@ -3,8 +3,10 @@
 Items are spread evenly over groups of bounded size by a hash of their id, so no source or key makes a hot group. Each
 group is packed on its own: best fit in decreasing order, then local search among the containers below ``full``, which moves
 an item, exchanges one for one or two for one whenever that increases the sum of squared fills, until the emptiest
-containers are empty or nothing more can be gained. The items of containers that stay underfull go on to the next
-round, in a ``fan_in``-th of the groups, until one group is left; so the room lost at the edges of groups is won back.
+containers are empty or nothing more can be gained. A container is closed when it is full enough or has less room than
+the smallest item of its round. The items of the others go on to the next round, in as many groups of the same size as
+they fill; so the room lost at the edges of groups is won back. The rounds end with one group, or when most items of a
+round would go on: then all containers are closed as they are. No group is ever larger than ``group_rows`` on average.
 
 An item above the capacity is the only kind that is split: into parts of exactly the capacity, each a full container,
 and a rest that is packed like any other item.
@@ -19,6 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,10 +96,18 @@ class Bins:
         self.apply(a, b, best[1], best[2])
         return True
 
+    def _sizes(self, b: int) -> tuple[int, int, int, int]:
+        """Smallest and largest item, smallest and largest sum of two."""
+        sizes = sorted(x[0] for x in self.items[b])
+        if not sizes:
+            return 0, 0, 0, 0
+        return sizes[0], sizes[-1], *((sizes[0] + sizes[1], sizes[-1] + sizes[-2]) if len(sizes) > 1 else (self.capacity + 1, 0))
+
     def search(self, full: float, steps: int | None = None) -> None:
         """Empty the emptiest underfull container into the fuller ones, in so many sweeps or until one changes nothing.
 
-        Every change raises the sum of squared fills, so the sweeps end.
+        Every change raises the sum of squared fills, so the sweeps end. Containers whose sizes allow no move and no exchange
+        are passed over at once.
         """
         bound = full * self.capacity
         for _ in count() if steps is None else range(steps):
@@ -104,11 +115,30 @@ class Bins:
             if len(open_bins) < 2:
                 return
             changed = False
+            known = np.array([self._sizes(b) for b in open_bins], dtype=np.int64)
+            fill = np.array([self.fill[b] for b in open_bins], dtype=np.int64)
+
+            def useful(n: int, upto: int) -> np.ndarray:
+                """Places from n to upto, the last first, that container n might give to."""
+                low, high, low_two, high_two = known[n]
+                room, (lows, highs) = self.capacity - fill[n + 1 : upto], known[n + 1 : upto, :2].T  # noqa: B023
+                swap = (high > lows) | ((high_two > lows) & (low_two <= highs + room))
+                fits = (room > 0) & ((low <= room) | swap) & (fill[n + 1 : upto] >= fill[n])  # noqa: B023
+                return np.flatnonzero(fits)[::-1] + n + 1
+
             for n, a in enumerate(open_bins):
-                for b in reversed(open_bins[n + 1 :]):
-                    while self.fill[a] and self.fill[b] >= self.fill[a] and self.improve(a, b):
-                        changed = True
-                    if not self.fill[a]:
+                upto = len(open_bins)
+                while self.fill[a] and upto > n + 1:
+                    for m in useful(n, upto):
+                        b, before = open_bins[m], self.fill[a]
+                        while self.fill[a] and self.fill[b] >= self.fill[a] and self.improve(a, b):
+                            changed = True
+                        if self.fill[a] != before:
+                            for k in (n, m):
+                                known[k], fill[k] = self._sizes(open_bins[k]), self.fill[open_bins[k]]
+                            upto = m
+                            break
+                    else:
                         break
             if not changed:
                 return
@@ -126,50 +156,55 @@ def pack_group(sizes: list[int], capacity: int, full: float, steps: int | None =
     return of, bins.fill
 
 
-def _filler(capacity: int, full: float, steps: int | None, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _filler(capacity: int, full: float, steps: int | None, level: int, last: bool, least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "part", "_spread"], ascending=False, kind="stable").reset_index(drop=True)
         of, fills = pack_group(pdf["size"].tolist(), capacity, full, steps)
         group = pdf["_group"].iloc[0]
         pdf["container"] = [f"{level}-{group}-{b}" for b in of]
-        pdf["_open"] = [not last and fills[b] < full * capacity for b in of]
+        pdf["_open"] = [not last and fills[b] < full * capacity and capacity - fills[b] >= least for b in of]
         return pdf[["id", "part", "parts", "size", "_spread", "container", "_open"]]
 
     return fill
 
 
-def pack(sized: DataFrame, capacity: int, scratch: Scratch, group_rows: int = 4_000, fan_in: int = 16, full: float = 0.98, steps: int | None = None) -> DataFrame:
+def pack(sized: DataFrame, capacity: int, scratch: Scratch, group_rows: int = 4_000, full: float = 0.98, steps: int | None = None) -> DataFrame:
     """(id, part, parts, size, container) for each part of each row of ``sized`` (id, size).
 
-    group_rows: items packed in one task at most on average; full: containers filled less are opened again in the next
+    group_rows: items packed in one task on average; full: containers filled less are opened again in the next
     round; steps: most sweeps of the local search, by default as many as change something.
     """
     sized = sized.select("id", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     parts = sized.select("id", F.col("size").alias("total"), F.greatest(F.ceil(F.col("size") / F.lit(capacity)), F.lit(1)).cast("int").alias("parts"))
     parts = parts.select("id", "total", "parts", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
-    parts = scratch.put(parts.select("id", "part", "parts", F.when(F.col("part") < F.col("parts"), F.lit(capacity)).otherwise(F.col("total") - capacity * (F.col("parts") - 1)).cast("long").alias("size"), F.abs(F.xxhash64("id", "part", "total")).alias("_spread"), F.monotonically_increasing_id().alias("_row")), "parts")
+    # repeated ids are told apart by where they stand
+    parts = scratch.put(parts.select("id", "part", "parts", F.when(F.col("part") < F.col("parts"), F.lit(capacity)).otherwise(F.col("total") - capacity * (F.col("parts") - 1)).cast("long").alias("size"), F.monotonically_increasing_id().alias("_row")), "parts")
+    parts = parts.withColumn("_spread", F.xxhash64("id", "part", "_row"))
     whole = parts.where(F.col("size") == capacity).select("id", "part", "parts", "size", F.concat_ws("-", F.lit("full"), "_row").alias("container"))
     none = parts.where("size <= 0").select("id", "part", "parts", "size", F.lit(None).cast("string").alias("container"))
-    rest = parts.where((F.col("size") > 0) & (F.col("size") < capacity))
-    groups, level, done = max(1, -(-rest.count() // group_rows)), 0, []
+    rest, kind = parts.where((F.col("size") > 0) & (F.col("size") < capacity)).select("id", "part", "parts", "size", "_spread"), dict(sized.dtypes)["id"]
+    level, done, before = 0, [], None
     while True:
-        last = groups == 1
-
-        kind = dict(sized.dtypes)["id"]
+        rows, least = rest.agg(F.count("*"), F.min("size")).first()
+        groups = max(1, -(-rows // group_rows))
+        last = groups == 1 or (before is not None and 2 * rows > before)
         spread = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(level), F.col("_spread")), F.lit(groups)))
-        packed = scratch.put(spread.groupBy("_group").applyInPandas(_filler(capacity, full, steps, level, last), f"id {kind}, part int, parts int, size long, _spread long, container string, _open boolean"), f"packed{level}")
+        packed = scratch.put(spread.groupBy("_group").applyInPandas(_filler(capacity, full, steps, level, last, least or 0), f"id {kind}, part int, parts int, size long, _spread long, container string, _open boolean"), f"packed{level}")
         done.append(packed.where("not _open").select("id", "part", "parts", "size", "container"))
         if last:
             break
-        rest = packed.where("_open").select("id", "part", "parts", "size", "_spread")
-        left = rest.count()
-        groups, level = min(-(-groups // fan_in), max(1, -(-left // group_rows))), level + 1
+        rest, before, level = packed.where("_open").select("id", "part", "parts", "size", "_spread"), rows, level + 1
     out = whole.unionByName(none)
     for x in done:
         out = out.unionByName(x)
     return out
 
 
+def split_items(packed: DataFrame) -> DataFrame:
+    """(id): items that stand in more than one container."""
+    return packed.where("container is not null").groupBy("id").agg(F.countDistinct("container").alias("n")).where("n > 1").select("id")
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """(containers, used, lower_bound, fill): how full the containers are; lower_bound: total size over capacity."""
     per = packed.where("container is not null").groupBy("container").agg(F.sum("size").alias("s"))

@@ -116,7 +116,8 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).where("parts > 1 and part = 1").select(F.col("id").alias("doc_id"))
+    """Documents that the assignment puts into more than one container."""
+    return packing.split_items(_packed(spark, sf_dir)).select(F.col("id").alias("doc_id"))
 
 
 def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from lexloom.llm import packing
 from lexloom.llm.mixing import mix, pivot
 from lexloom.llm.packing import Bins, fill_report, pack, pack_group
 from lexloom.llm.tokens import token_count
@@ -49,6 +53,29 @@ def test_search_goes_on_until_nothing_changes(spark):
         assert bins.fill == full
 
 
+def test_no_task_gets_more_than_a_group(spark):
+    """Items of half to two thirds of the capacity: no container can be closed by a second item, and no round gathers them."""
+    draw = random.Random(4)
+    for low, high, least in ((2_100, 2_600, 2_000), (300, 2_600, 0)):
+        rows = [(i, draw.randint(low, high)) for i in range(2_000)]
+        out = pack(spark.createDataFrame(rows, "id long, size long"), 4_096, Scratch(spark, "test"), group_rows=150)
+        largest = out.where("container not like 'full%'").groupBy(F.substring_index("container", "-", 2).alias("g")).count().agg(F.max("count")).first()[0]
+        assert largest <= 2 * 150
+        report = fill_report(out, 4_096).first()
+        assert report["used"] == sum(s for _, s in rows) and report["containers"] >= least
+
+
+def test_search_of_large_items_is_quick():
+    draw, start = random.Random(5), time.perf_counter()
+    of, _ = pack_group([draw.randint(2_100, 2_600) for _ in range(4_000)], 4_096, 0.98)
+    assert len(set(of)) == 4_000 and time.perf_counter() - start < 5
+
+
+def test_items_in_several_containers(spark):
+    out = pack(spark.createDataFrame([(1, 250), (2, 100), (3, 99), (4, 0), (5, 101)], "id long, size long"), 100, Scratch(spark, "test"))
+    assert {r["id"] for r in packing.split_items(out).collect()} == {1, 5}
+
+
 def test_pack(spark):
     draw = random.Random(2)
     rows = [(i, draw.randint(1, 60), "x") for i in range(3_000)] + [(9_001, 250, "x"), (9_001, 250, "x"), (9_002, 0, "x"), (9_003, None, "x"), (9_004, 200, "x")]
