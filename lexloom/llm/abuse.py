@@ -4,22 +4,30 @@ Words are brought to a plain form (compatibility forms, look-alike letters, invi
 as letters, letters set apart by dots, dashes or blanks, drawn-out letters). Each plain word is looked up by running a
 Levenshtein automaton for it along a trie of the lexicon, so all terms within the allowed edits are found in one walk;
 signs that mask letters count as any letter. Plurals, cut forms, masks at the ends and words an edit away from a term of
-four or five letters are matches too, but get nothing for being disguised. A match alone says little: the words in a window around it are scored.
-Words that aim at somebody (you, they are, the lot of them, threats) raise the score, words of report, law, medicine,
-animals or condemnation and words about the writer lower it. Phrases that are abusive without a listed word have entries
-of their own, made of word sets with gaps. A passage counts from a score of 1.
+four or five letters are matches too, but get nothing for being disguised. Terms in Chinese are found anywhere in a
+text. Threats, wishes of harm and the like that need no listed word are frames: word sets in order with gaps, whose words
+are looked up in the same trie.
+
+A match of either kind says little by itself: the words of its sentence near it are scored. Words that aim at somebody (you, they
+are, the lot of them) raise the score, words of report, law, medicine, animals or condemnation, words about the
+writer and quotation marks lower it. The weights start from those in CUES and are fitted to the reviewers' verdicts, the
+more verdicts there are the further they may move. A passage counts from a score of 1.
 
 Defined results: null and empty texts score 0; repeated documents are scored each; very long texts are read whole, in
 order; terms with a null or blank word or an unknown category are ignored; of a term listed twice the larger severity
-counts; an empty table gives no rows; columns other than id and text are ignored.
+counts; an empty table gives no rows; columns other than id and text are ignored. Verdicts that are null, or of documents
+that aren't there, are ignored; without verdicts the weights stay as they start.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,16 +66,34 @@ CUES = {
     "myself": -1.0, "i": -0.05, "am": -0.2, "words": -0.5, "word": -0.5, "term": -0.6, "remark": -1.2, "remarks": -1.2, "slur": -1.5, "withdrawn": -1.2, "withdraw": -1.2, "apologise": -1.5, "apologised": -1.5, "street": -0.6, "mr": -0.4, "patients": -1.0, "cancer": -1.5,
 }
 
-#: Passages without a listed word: category and word sets in order, with at most two other words between two sets.
-PASSAGES = [
+#: Signs of reported speech other than single words, and how much they say.
+QUOTED, MENTIONED = " quoted", " mentioned"
+CUES |= {QUOTED: -0.6, MENTIONED: -1.2}
+#: Words that judge what somebody said, and those that only say that it was said: fixed values.
+JUDGED = frozenset("quoted quote quotes quoting phrase slur slurs remark remarks condemned condemn apologise apologised withdrawn offence harassment tolerated unacceptable graffiti".split())
+SAID = frozenset("word words term terms said says wrote write writes written called calling calls minutes editor poster article letter".split())
+HAN_CUES = {"你": 0.4, "他们": 0.3, "滚": 0.4, "去": 0.1, "谴责": -2.0, "引述": -2.0, "一词": -1.5, "道歉": -1.5, "侮辱性": -1.5, "所谓": -1.0}
+
+#: Frames without a listed word: category and word sets in order, with at most GAP other words between two sets.
+GAP = 2
+_HARM = "die|choke|bleed|burn|rot|suffer|drown|hang|perish"
+_HURT = "kill|hurt|hunt|stab|strangle|shoot|beat|smash|bury"
+_BODY = "legs|leg|neck|bones|arms|teeth|skull|jaw|fingers"
+FRAMES = [
     ("abuse", "world|place improves|better day|when|without you stop|stopped|die|breathing|breath"),
-    ("abuse", "people|person|someone like you should|deserve be put down|shot|killed"),
-    ("abuse", "go drown|kill|hang yourself|yourselves"),
-    ("abuse", "you deserve|deserves to|a die|beating|suffer|rot"),
-    ("abuse", "i|we will|ll hunt|find|hurt|kill|break you|your"),
-    ("abuse", "hope you|your family|children die|suffer|burn|rot|choke"),
-    ("abuse", "office|staff deserves|deserve a beating"),
-    ("hate", "burn their houses|homes|shops"),
+    ("abuse", f"hope|wish|pray you|u|ya {_HARM}"),
+    ("abuse", f"hope|wish|pray your family|children|kids {_HARM}"),
+    ("abuse", f"you|u will|ll|gonna|shall {_HARM}"),
+    ("abuse", f"i|we|ill|someone|somebody will|ll|gonna|should|ought|going {_HURT} you|your|u|ya"),
+    ("abuse", f"i|we|ill|someone|somebody will|ll|gonna|should|ought|going break your {_BODY}"),
+    ("abuse", f"i|we|someone|somebody will|ll|gonna|should|ought|to break|smash both|all|every your {_BODY}"),
+    ("abuse", "know|knows where you|u park|live|sleep|work you|u"),
+    ("abuse", "people|person|someone like you should|deserve be put down|shot|killed|drowned"),
+    ("abuse", "go drown|kill|hang|hurt yourself|yourselves"),
+    ("abuse", "you deserve|deserves to|a die|beating|suffer|rot|bleed"),
+    ("abuse", "crawl|slither back under|into rock|hole|sewer"),
+    ("abuse", "office|staff|officers deserves|deserve a beating|kicking|thrashing"),
+    ("hate", "burn|torch their houses|homes|shops"),
     ("hate", "send whole|the lot of them back in|home boxes|coffins|ships"),
     ("hate", "only good one|ones of them is|are dead"),
     ("hate", "they are not human"),
@@ -77,12 +103,17 @@ PASSAGES = [
     ("sexual", "ride me until|all morning|night"),
     ("sexual", "undress you|me slowly|taste|and"),
     ("sexual", "taste every inch of"),
-    ("sexual", "she moans and takes"),
+    ("sexual", "she|he moans and takes"),
+    ("sexual", "pictures|photos|pics with nothing on"),
+    ("sexual", "i|im so turned on"),
     ("abuse", "kamu memang bodoh|bangsat"),
     ("abuse", "babi tak guna"),
     ("abuse", "pergi mampus"),
 ]
-_HAN_PASSAGES = [("abuse", "滚出去"), ("abuse", "去死"), ("abuse", "他妈的"), ("abuse", "人渣"), ("abuse", "你这个白痴")]
+#: What a frame scores by itself.
+FRAME_SCORE = 1.3
+#: Threats and curses in Chinese beside the listed terms: fixed values.
+MORE_HAN = (("abuse", "滚出去", 2), ("abuse", "去死", 3), ("abuse", "你这个白痴", 2))
 
 
 class Trie:
@@ -140,16 +171,36 @@ class Lexicon:
             word = plain_text(term.strip())
             if word not in self.of or (self.of[word][0] == category and self.of[word][1] < severity):
                 self.of[word] = (category, severity)
+        for category, word, severity in MORE_HAN:
+            self.of.setdefault(word, (category, severity))
         self.trie = Trie([w for w in self.of if not _HAN.search(w)])
-        self.han = {w for w in self.of if _HAN.search(w)}
+        self.longest = max((len(w) for w in self.of), default=0)
+        self.han = re.compile("|".join(sorted(map(re.escape, (w for w in self.of if _HAN.search(w))), key=lambda w: (-len(w), w))))
         self.known: dict[str, str | None] = {}
         #: Words looked up that are near a term by letters alone: the window has to say that the term is meant.
         self.loose: set[str] = set()
-        self.passages = [(category, [frozenset(x.split("|")) for x in words.split()]) for category, words in PASSAGES]
-        self.first = {}
-        for p in self.passages:
-            for w in p[1][0]:
-                self.first.setdefault(w, []).append(p)
+        self.frames = [(category, [frozenset(x.split("|")) for x in words.split()]) for category, words in FRAMES]
+        self.first: dict[str, list] = {}
+        for f in self.frames:
+            for w in f[1][0]:
+                self.first.setdefault(w, []).append(f)
+        self.framed = frozenset(w for _, sets in self.frames for x in sets for w in x)
+        self.frame_trie = Trie(sorted(w for w in self.framed if len(w) >= 5))
+        self.meant: dict[str, str] = {}
+
+    def frame_word(self, word: str) -> str:
+        """The word of the frames that a misspelt word stands for, else the word itself."""
+        if len(word) < 5 or word in self.framed or word in COMMON or not word.isalpha():
+            return word
+        found = self.meant.get(word)
+        if found is None:
+            if len(self.meant) > 500_000:
+                self.meant.clear()
+            drawn = re.sub(r"(.)\1{2,}", r"\1", word)
+            # other forms of a word are words of their own
+            near = [t for _, t in self.frame_trie.within(drawn, 1) if t[0] == drawn[0] and not drawn.startswith(t) and not t.startswith(drawn)] if len(drawn) <= 24 else []
+            found = self.meant[word] = near[0] if near and drawn[-1] == near[0][-1] else word
+        return found
 
     def find(self, word: str) -> str | None:
         """The term a word stands for, if any."""
@@ -164,18 +215,21 @@ class Lexicon:
     def _find(self, word: str) -> str | None:
         if word in self.of:
             return word
-        if len(word) > 60 or len(word) < 3:
+        if len(word) < 3:
             return None
         letters = "".join(LEET.get(c, c) for c in word)
         if letters.isdigit() or not any(c.isalpha() or c == "*" for c in letters):
             return None
         drawn = re.sub(r"(.)\1+", r"\1", letters)
+        # no term is within two edits of a longer word
+        if len(drawn) > self.longest + 2:
+            return None
         for form in (letters, re.sub(r"(.)\1{2,}", r"\1\1", letters), re.sub(r"(.)\1{2,}", r"\1", letters), drawn):
             if form in self.of:
                 return form
         if "*" in letters:
             ends = letters.strip("*")
-            hits = [t for n, t in self.trie.within(letters, 0)] if ends and ends not in COMMON else []
+            hits = [t for n, t in self.trie.within(letters, 0)] if ends and ends not in COMMON and len(letters) <= self.longest else []
             if ends != letters:  # signs at the ends may be emphasis or a footnote
                 self.loose.add(word)
             # a mask of many letters stands for the one term of this length with these ends
@@ -185,7 +239,7 @@ class Lexicon:
             for n, t in self.trie.within(drawn, 1):
                 if re.sub(r"(.)\1+", r"\1", t) == drawn:
                     return t
-        if word.isalpha() and len(word) >= 4 and letters not in COMMON:
+        if word.isalpha() and 4 <= len(word) <= self.longest + 2 and letters not in COMMON:
             allowed = 1 if len(word) < 10 else 2
             # real words differ from terms by their ends; a misspelling keeps the first letter and the length but for one
             near = [t for n, t in self.trie.within(letters, allowed) if letters[0] == t[0] and abs(len(letters) - len(t)) <= 1 and len(t) >= 4]
@@ -207,27 +261,31 @@ COMMON = frozenset("assassin dickson cocktail cockpit scunthorpe idiotic idiom b
     "baby babe bagi bali bari bibi rate rates rams rays rags raps ruts rots rafts rants scam scams swum slum scrum scud sail seal sill sisal".split())
 
 
-def _weights(window: list[str], at: int, reach: int) -> float:
-    total = 0.0
-    for i in range(max(0, at - reach), min(len(window), at + reach + 1)):
-        if i != at:
-            total += CUES.get(window[i], 0.0)
-    return total
+@dataclass(frozen=True)
+class Match:
+    """A passage: what it scores by itself, and the cues near it."""
 
+    category: str
+    base: float
+    cues: tuple[str, ...]
+    what: str
 
-def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, float, str]]:
-    """(category, score, what matched) of each match in a text."""
+    def score(self, weights: dict[str, float]) -> float:
+        return self.base + sum(weights.get(c, 0.0) for c in self.cues)
+
+
+_PAIRS_OF_QUOTES = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|‘[^’\n]{1,300}’|(?<!\w)'[^'\n]{1,300}'(?!\w)|「[^」]{1,300}」")
+
+
+def matches(text: str, lexicon: Lexicon, reach: int = 9) -> list[Match]:
+    """All matches in a text, with the cues of their sentences."""
     low = plain_text(text)
-    out: list[tuple[str, float, str]] = []
-    if not low.isascii():
-        for category, phrase in _HAN_PASSAGES:
-            if phrase in low:
-                out.append((category, 1.5, phrase))
     if "." in low or "-" in low or " " in low:
         low = _APART.sub(lambda m: re.sub(r"[.\-_ ]", "", m.group(1)) if m.group(2) else m.group(0), low)
     words: list[str] = []
     whole: list[str] = []
     breaks: list[int] = []
+    starts: list[int] = []
     number = 0
     last = 0
     for m in _TOKEN.finditer(low):
@@ -237,57 +295,151 @@ def passages(text: str, lexicon: Lexicon, reach: int = 9) -> list[tuple[str, flo
         whole.append(m.group().rstrip("|_"))
         words.append(m.group().rstrip("*|_").lstrip("*"))
         breaks.append(number)
+        starts.append(m.start())
         last = m.end()
+    out: list[Match] = []
+    quotes: list[tuple[int, int]] | None = None
+
+    def near(first: int, upto: int, at: int, frame: bool) -> tuple[str, ...]:
+        """Cues around words first to upto (text position at): words of the sentence within reach, but for the match itself."""
+        nonlocal quotes
+        a = first
+        while a > 0 and first - a < reach and breaks[a - 1] == breaks[first]:
+            a -= 1
+        b = upto
+        while b + 1 < len(words) and b - upto < reach and breaks[b + 1] == breaks[upto]:
+            b += 1
+        around = words[a:first] + words[upto + 1 : b + 1]
+        # a frame aims at somebody by itself; only who judges it is looked for
+        cues = [w for w in around if w in CUES and (not frame or w in JUDGED)]
+        if quotes is None:
+            quotes = [m.span() for m in _PAIRS_OF_QUOTES.finditer(low)]
+        inside = next(((x, y) for x, y in quotes if x <= at < y), None)
+        if inside is not None:
+            cues.append(QUOTED)
+        if not JUDGED.isdisjoint(around) or (inside is not None and not SAID.isdisjoint(around)) or (first > 0 and words[first - 1] in SAID):
+            cues.append(MENTIONED)
+        return tuple(cues)
+
+    if not low.isascii():
+        for m in lexicon.han.finditer(low) if lexicon.han.pattern else ():
+            category, severity = lexicon.of[m.group()]
+            i = max(0, bisect_right(starts, m.start()) - 1)
+            begin, end = max(low.rfind(x, 0, m.start()) for x in "。！？\n") + 1, min((k for k in (low.find(x, m.end()) for x in "。！？\n") if k >= 0), default=len(low))
+            sentence = low[begin : m.start()] + " " + low[m.end() : end]
+            cues = [c for c in HAN_CUES if c in sentence] + list(near(i, i, m.start(), False) if words else ())
+            out.append(Match(category, 0.9 + 0.1 * severity if m.group() not in PLAIN else 0.5 + 0.1 * severity, tuple(cues), m.group()))
     for i, word in enumerate(words):
-        if word in lexicon.first:
-            for category, sets in lexicon.first[word]:
-                if _follows(words, i, sets):
-                    out.append((category, 1.5, " ".join(words[i : i + len(sets)])))
+        meant = word if word in lexicon.first else lexicon.frame_word(word)
+        if meant in lexicon.first:
+            for category, sets in lexicon.first[meant]:
+                end = _follows(words, i, sets, lexicon)
+                if end >= 0:
+                    out.append(Match(category, FRAME_SCORE, near(i, end, starts[i], True), " ".join(words[i : end + 1])))
         # masks at the ends count as letters, unless the word is a term without them
         spelt = word if whole[i] == word or word in lexicon.of or lexicon.find(whole[i]) is None else whole[i]
         term = lexicon.find(spelt)
-        if term is None:
+        if term is None or _HAN.search(term):
             continue
         category, severity = lexicon.of[term]
-        # the window ends at the sentence, but for the next words where sentences run together
-        a = i
-        while a > 0 and i - a < reach and breaks[a - 1] == breaks[i]:
-            a -= 1
-        b = i
-        while b + 1 < len(words) and b - i < reach and breaks[b + 1] == breaks[i]:
-            b += 1
-        cue = _weights(words[a : b + 1], i - a, reach)
         base = (0.35 if term in PLAIN else 0.7) + 0.1 * severity + (0.3 if spelt != term and spelt not in lexicon.loose else 0.0)
-        out.append((category, base + cue, word))
+        out.append(Match(category, base, near(i, i, starts[i], False), word))
     return out
 
 
-def _follows(words: list[str], at: int, sets: list[frozenset], gap: int = 2) -> bool:
+def passages(text: str, lexicon: Lexicon, weights: dict[str, float] | None = None) -> list[tuple[str, float, str]]:
+    """(category, score, what matched) of each match in a text."""
+    weights = CUES | HAN_CUES if weights is None else weights
+    return [(m.category, m.score(weights), m.what) for m in matches(text, lexicon)]
+
+
+def _follows(words: list[str], at: int, sets: list[frozenset], lexicon: Lexicon) -> int:
+    """Where the frame that begins at a word ends, -1 if it doesn't go on."""
     for wanted in sets[1:]:
-        for i in range(at + 1, min(len(words), at + 2 + gap)):
-            if words[i] in wanted:
+        for i in range(at + 1, min(len(words), at + 2 + GAP)):
+            if words[i] in wanted or lexicon.frame_word(words[i]) in wanted:
                 at = i
                 break
         else:
-            return False
-    return True
+            return -1
+    return at
+
+
+# ---- weights ----------------------------------------------------------------------------------------------------
+
+#: How sharply a score of 1 parts passages, and how many verdicts move a weight half way.
+SHARP, PRIOR = 4.0, 8.0
+
+
+def fitted(rows: list[tuple[float, list[tuple[float, list[str]]]]], steps: int = 200, rate: float = 0.02) -> dict[str, float]:
+    """Cue weights fitted to documents: (share of reviewers that flagged it, [(score by itself, cues) of each match]).
+
+    Of a document its highest passage answers for the verdict. Weights are drawn to where they start, a step at a time; cues that
+    few matches have hardly move.
+    """
+    start = CUES | HAN_CUES
+    names = sorted(start)
+    place, first = {c: k for k, c in enumerate(names)}, np.array([start[c] for c in names])
+    rows = [(y, m) for y, m in rows if m]
+    if not rows:
+        return dict(start)
+    x = np.zeros((sum(len(m) for _, m in rows), len(names)))
+    base, doc = np.zeros(len(x)), np.zeros(len(x), dtype=np.int64)
+    k = 0
+    for d, (_, found) in enumerate(rows):
+        for b, cues in found:
+            base[k], doc[k] = b, d
+            for c in cues:
+                if c in place:
+                    x[k, place[c]] += 1
+            k += 1
+    begin, y, w = np.searchsorted(doc, np.arange(len(rows))), np.array([r[0] for r in rows], dtype=float), first.copy()
+    for _ in range(steps):
+        score = base + x @ w
+        top = np.lexsort((-score, doc))[begin]
+        p = 1 / (1 + np.exp(-np.clip(SHARP * (score[top] - 1), -30, 30)))
+        w -= rate * (SHARP * ((p - y) @ x[top]) + PRIOR * (w - first))
+    return dict(zip(names, w.tolist()))
+
+
+def context_weights(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, listed: list[tuple[str, str, int]], most_labels: int = 20_000) -> dict[str, float]:
+    """Cue weights fitted to the verdicts in ``labels`` (the id column, flagged) on the documents: at most ``most_labels`` of
+    the labelled documents, by hash, are read and only their matches reach the driver."""
+    votes = labels.where(F.col(id_col).isNotNull() & F.col("flagged").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col("flagged").cast("double")).alias("_y"))
+    votes = votes.orderBy(F.xxhash64("id")).limit(most_labels)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(listed)
+        for batch in batches:
+            rows = []
+            for y, text in zip(batch["_y"], batch["_text"]):
+                held = list(dict.fromkeys((m.base, m.cues) for m in matches(text, lexicon)))[:64] if text else []
+                if held:
+                    rows.append((y, [b for b, _ in held], [" ".join(c.replace(" ", "\t") for c in cues) for _, cues in held]))
+            yield pd.DataFrame(rows, columns=["y", "base", "cues"])
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(votes), "id").select("_y", "_text")
+    rows = texts.mapInPandas(found, "y double, base array<double>, cues array<string>").collect()
+    return fitted(sorted((r["y"], [(b, [x.replace("\t", " ") for x in c.split(" ")] if c else []) for b, c in zip(r["base"], r["cues"])]) for r in rows))
 
 
-def score_documents(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, most_terms: int = 100_000) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, labels: DataFrame | None = None, most_terms: int = 100_000) -> DataFrame:
     """(id, abuse, hate, sexual, matches): the highest passage score of each category, and what matched.
 
-    The word list is sent to all tasks; more than ``most_terms`` of them are refused.
+    The word list is sent to all tasks; more than ``most_terms`` of them are refused. labels: reviewers' verdicts that the
+    weights are fitted to.
     """
     listed = [(r[0], r[1], int(r[2] or 1)) for r in terms.select("term", "category", "severity").limit(most_terms + 1).collect()]
     if len(listed) > most_terms:
         raise ValueError(f"more than {most_terms} terms")
+    weights = CUES | HAN_CUES if labels is None else context_weights(df, id_col, text_col, labels, listed)
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(listed)
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"], batch["_text"]):
-                found = passages(text, lexicon) if text else []
+                found = passages(text, lexicon, weights) if text else []
                 best = dict.fromkeys(CATEGORIES, 0.0)
                 for category, score, _ in found:
                     best[category] = max(best[category], score)

@@ -151,7 +151,7 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of every document."""
-    scored = abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "watch_terms"))
+    scored = abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "watch_terms"), read(spark, sf_dir, "review_labels"))
     return scored.withColumnRenamed("id", "doc_id")
 
 

@@ -1,5 +1,6 @@
 import random
 
+from lexloom.llm import abuse
 from lexloom.llm.abuse import Lexicon, Trie, passages, score_documents
 
 TERMS = [("idiot", "abuse", 1), ("scumbag", "abuse", 2), ("vermin", "hate", 3), ("parasites", "hate", 2), ("cock", "sexual", 2), ("bitch", "abuse", 2), (None, "abuse", 1), (" ", "abuse", 1), ("x", "other", 1), ("idiot", "abuse", 3)]
@@ -79,3 +80,39 @@ def test_documents(spark):
     assert all(r["hate"] == 0 for r in got)
     assert score_documents(docs.limit(0), "id", "text", terms).count() == 0
     assert score_documents(docs, "id", "text", terms.limit(0)).count() == 5
+
+
+def scores(text, weights=None):
+    lexicon = abuse.Lexicon([("idiot", "abuse", 1), ("白痴", "abuse", 2)])
+    return max((s for _, s, _ in abuse.passages(text, lexicon, weights)), default=0.0)
+
+
+def test_quoted_and_judged_words_are_no_abuse():
+    for text in (
+        "the editor quoted the phrase 'go kill yourself' and condemned it", "滚出去 was condemned by the minister as a slur", "you wrote idiot in the minutes",
+        '议员引述“滚出去”一词并予以谴责。', 'the word "idiot" appears in the poster', "We will find you a seat near the window", "I will find your file this afternoon",
+        "We will break your fall with a mat", "the slur go drown yourself was withdrawn",
+    ):
+        assert scores(text) < 1, text
+
+
+def test_threats_and_misspelt_frames():
+    for text in ("go drown yourself", "go droown yourself", "I hope you choke on it", "you will bleed for this", "someone ought to break both your legs", "we will hurt you", "滚出去！", "this is nonsense, 你这个白痴", "you are such an idoit"):
+        assert scores(text) >= 1, text
+
+
+def test_weights_follow_the_verdicts(spark):
+    """Reviewers who clear every mention near a word draw its weight down; without verdicts nothing moves."""
+    assert abuse.fitted([]) == abuse.CUES | abuse.HAN_CUES
+    cleared = [(0.0, [(0.8, ["you", "tonight"])])] * 40
+    assert abuse.fitted(cleared)["tonight"] < abuse.CUES["tonight"] - 0.1
+    docs = spark.createDataFrame([(i, "you are an idiot tonight") for i in range(30)] + [(99, None), (98, "calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(30)] + [(None, 1), (5, None), (1_000, 1), (98, 1)], "doc_id long, flagged int")
+    listed = [("idiot", "abuse", 1)]
+    assert abuse.context_weights(docs, "doc_id", "text", labels, listed)["you"] < abuse.CUES["you"]
+    assert abuse.context_weights(docs, "doc_id", "text", labels.limit(0), listed) == abuse.CUES | abuse.HAN_CUES
+
+
+def test_very_long_words_and_texts():
+    assert scores("w" * 1_000_000) == 0 and scores("fuuuu" + "u" * 100_000 + "cking idiot, you") >= 1
+    assert scores("you are an idiot. " * 5_000) >= 1
