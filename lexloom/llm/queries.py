@@ -72,10 +72,17 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(read(spark, sf_dir, "clauses").select(F.col("id").alias("clause_id")), "clause_id", "left_semi")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> cooccur.PairTable:
+    """The pair table after two updates: all edges as they come in, then the clauses gone that don't exist."""
+    edges = read(spark, sf_dir, "clause_concepts").select("clause_id", "concept_id")
+    table = cooccur.PairTable(spark, Scratch(spark, "pairs")).update(edges, "clause_id", "concept_id")
+    deleted = edges.select("clause_id").join(read(spark, sf_dir, "clauses").select(F.col("id").alias("clause_id")), "clause_id", "left_anti")
+    return table.update(edges.limit(0), "clause_id", "concept_id", gone=deleted)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = cooccur.PairTable(spark, Scratch(spark, "pairs")).update(_tagged(spark, sf_dir), "clause_id", "concept_id")
     case = "n_ab >= 5 AND 2000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b"
-    return table.associations().where(case).select(F.col("a").alias("concept_id_a"), F.col("b").alias("concept_id_b"))
+    return _pairs(spark, sf_dir).associations().where(case).select(F.col("a").alias("concept_id_a"), F.col("b").alias("concept_id_b"))
 
 
 def _association(table: cooccur.PairTable) -> DataFrame:
@@ -85,7 +92,7 @@ def _association(table: cooccur.PairTable) -> DataFrame:
 
 def p5_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs with counts and association."""
-    return _association(cooccur.PairTable(spark, Scratch(spark, "pairs")).update(_tagged(spark, sf_dir), "clause_id", "concept_id"))
+    return _association(_pairs(spark, sf_dir))
 
 
 def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +103,8 @@ def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = cooccur.PairTable(spark, Scratch(spark, "pairs"))
     table.update(rows.join(most, "clause_id").where("concept_id <> top"), "clause_id", "concept_id")
     table.update(rows.where("clause_id % 2 = 1"), "clause_id", "concept_id")
-    table.update(rows.where("clause_id % 2 = 0"), "clause_id", "concept_id")
+    # the last update goes to the state as the others left it in its folder
+    table = cooccur.PairTable.open(spark, table.folder).update(rows.where("clause_id % 2 = 0"), "clause_id", "concept_id")
     return _association(table)
 
 

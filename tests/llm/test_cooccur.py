@@ -3,6 +3,9 @@ import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from lexloom.llm import cooccur
 from lexloom.llm.cooccur import PairTable
 from lexloom.runtime import Scratch
 
@@ -41,9 +44,9 @@ def test_only_the_buckets_hit_are_written(spark):
     rows = [(b, i) for b in range(20) for i in (b, b + 1, b + 2)]
     scratch = Scratch(spark, "test")
     table = PairTable(spark, scratch).update(frame(spark, rows), "b", "i")
-    before = dict(table.written)
+    before = dict(table.pairs.written)
     table.update(frame(spark, [(5, 5), (5, 6)]), "b", "i")
-    again = {k for k, g in table.written.items() if g != before.get(k)}
+    again = {k for k, g in table.pairs.written.items() if g != before.get(k)}
     # the pairs (5, 7) and (6, 7) lost a basket
     assert 1 <= len(again) <= 2 < len(before)
     assert counts(table) == brute([r for r in rows if r != (5, 7)])
@@ -61,3 +64,35 @@ def test_scores_and_empty(spark):
 def test_hot_item_and_hot_basket(spark):
     rows = [(b, 1) for b in range(300)] + [(7, i) for i in range(200)] * 3
     assert counts(PairTable(spark, Scratch(spark, "test")).update(frame(spark, rows), "b", "i")) == brute(rows)
+
+
+def test_state_is_opened_again_and_affected_pairs_rescored(spark):
+    rows = [(b, i) for b in range(20) for i in (b, b + 1, b + 2)]
+    scratch = Scratch(spark, "test")
+    PairTable(spark, scratch, buckets=4).update(frame(spark, rows), "b", "i")
+    table = PairTable.open(spark, scratch.root)
+    assert counts(table) == brute(rows) and table.affected.count() == 0
+    table.update(frame(spark, [(5, 5), (5, 6), (77, 1), (77, 90)]), "b", "i", gone=frame(spark, [(3, None), (999, None)]).select("b"))
+    now = [r for r in rows if r != (5, 7) and r[0] != 3] + [(77, 1), (77, 90)]
+    again = PairTable.open(spark, scratch.root)
+    assert counts(again) == brute(now) == counts(table)
+    old, new = {x[:2]: x[2:5] for x in brute(rows)}, {x[:2]: x[2:5] for x in brute(now)}
+    got = {(r["a"], r["b"]): (r["n_ab"], r["n_a"], r["n_b"]) for r in table.affected.collect()}
+    assert got == {k: v for k, v in new.items() if old.get(k) != v}
+    # an update that fails leaves the state before it
+    try:
+        again.update(frame(spark, [(1, 1)]).withColumn("i", F.raise_error(F.lit("lost"))), "b", "i")
+    except Exception:
+        assert counts(PairTable.open(spark, scratch.root)) == brute(now)
+    else:
+        raise AssertionError
+
+
+def test_large_baskets_meet_in_chunks(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(1, i) for i in range(70)] + [(2, i) for i in range(30, 90)] + [(b, draw.randint(1, 9)) for b in range(3, 30) for _ in range(4)]
+    monkeypatch.setattr(cooccur, "CHUNK", 16)
+    table = PairTable(spark, Scratch(spark, "test")).update(frame(spark, rows), "b", "i")
+    assert counts(table) == brute(rows)
+    table.update(frame(spark, [(1, i) for i in range(40)]), "b", "i")
+    assert counts(table) == brute([r for r in rows if r[0] != 1] + [(1, i) for i in range(40)])
