@@ -187,6 +187,31 @@ class Lexicon:
         self.framed = frozenset(w for _, sets in self.frames for x in sets for w in x)
         self.frame_trie = Trie(sorted(w for w in self.framed if len(w) >= 5))
         self.meant: dict[str, str] = {}
+        self.chunks: dict[str, tuple[bool, tuple[str, ...]] | None] = {}
+
+    def _chunk(self, chunk: str) -> tuple[bool, tuple[str, ...]] | None:
+        """(does it hold a term, words of frames in it) of what stands between two blanks; None for neither."""
+        if len(self.chunks) > 500_000:
+            self.chunks.clear()
+        term, framed = False, []
+        for token in _TOKEN.findall(chunk):
+            word, whole = token.rstrip("*|_").lstrip("*"), token.rstrip("|_")
+            term = term or self.find(word) is not None or (whole != word and self.find(whole) is not None)
+            if (meant := self.frame_word(word)) in self.framed:
+                framed.append(meant)
+        self.chunks[chunk] = out = (term, tuple(framed)) if term or framed else None
+        return out
+
+    def may_match(self, low: str) -> bool:
+        """Does a text hold a term, or all the words of a frame in any order."""
+        known, held = self.chunks, set()
+        for chunk in set(low.split()):
+            hit = known[chunk] if chunk in known else self._chunk(chunk)
+            if hit is not None:
+                if hit[0]:
+                    return True
+                held.update(hit[1])
+        return any(all(not x.isdisjoint(held) for x in f[1]) for w in held if w in self.first for f in self.first[w])
 
     def frame_word(self, word: str) -> str:
         """The word of the frames that a misspelt word stands for, else the word itself."""
@@ -286,6 +311,10 @@ def matches(text: str, lexicon: Lexicon, reach: int = 9) -> list[Match]:
     whole: list[str] = []
     breaks: list[int] = []
     starts: list[int] = []
+    if low.isascii() or not lexicon.han.pattern or lexicon.han.search(low) is None:
+        # most texts end here
+        if not lexicon.may_match(low):
+            return []
     number = 0
     last = 0
     for m in _TOKEN.finditer(low):
