@@ -1,4 +1,4 @@
-"""The property graph of documents, clauses, concepts and items, and the upserts that keep the tables current."""
+"""The property graph of documents, clauses, concepts and items: nodes, edges, and the sorted file of both."""
 
 from __future__ import annotations
 
@@ -9,14 +9,19 @@ from lexloom.functions import text as T
 
 
 def nodes(contracts: DataFrame, clauses: DataFrame, concepts: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, type, label, sector, document, sitting_date): one node per id; a curated label wins over an implied one."""
-    docs = contracts.select(F.concat(F.lit("document:"), "slug").alias("id"), F.lit("document").alias("type"), F.coalesce("title", "slug").alias("label"), F.coalesce("sector", F.lit("")).alias("sector"))
-    parts = clauses.where("ref is not null").select(F.concat(F.lit("clause:"), "ref").alias("id"), F.lit("clause").alias("type"), T.clause_label(F.col("number"), F.col("heading"), F.col("anchor")).alias("label"), F.substring_index("ref", "#", 1).alias("document"))
-    ideas = concepts.select(F.concat(F.lit("concept:"), "slug").alias("id"), F.lit("concept").alias("type"), F.coalesce("name", "slug").alias("label"))
+    """(id, type, label, sector, document, sitting_date): one node per id.
+
+    Of rows with the same id one is taken whole: a row with a label of its own before one whose label is made of its id, then
+    the last by the id of its table, as later rows overwrite earlier ones.
+    """
+    docs = contracts.select(F.concat(F.lit("document:"), "slug").alias("id"), F.lit("document").alias("type"), F.coalesce("title", "slug").alias("label"), F.coalesce("sector", F.lit("")).alias("sector"), F.col("title").isNotNull().alias("_own"), F.col("id").alias("_at"))
+    parts = clauses.where("ref is not null").select(F.concat(F.lit("clause:"), "ref").alias("id"), F.lit("clause").alias("type"), T.clause_label(F.col("number"), F.col("heading"), F.col("anchor")).alias("label"), F.substring_index("ref", "#", 1).alias("document"), F.lit(True).alias("_own"), F.col("id").alias("_at"))
+    ideas = concepts.select(F.concat(F.lit("concept:"), "slug").alias("id"), F.lit("concept").alias("type"), F.coalesce("name", "slug").alias("label"), F.col("name").isNotNull().alias("_own"), F.col("id").alias("_at"))
     day = T.iso_date(F.col("sitting_date"))
-    talks = items.where("slug is not null").select(F.concat(F.lit("parliament:"), F.coalesce(day, F.lit("")), F.lit("-"), "slug").alias("id"), F.lit("parliament_item").alias("type"), F.coalesce("title", "slug").alias("label"), day.alias("sitting_date"))
+    talks = items.where("slug is not null").select(F.concat(F.lit("parliament:"), F.coalesce(day, F.lit("")), F.lit("-"), "slug").alias("id"), F.lit("parliament_item").alias("type"), F.coalesce("title", "slug").alias("label"), day.alias("sitting_date"), F.col("title").isNotNull().alias("_own"), F.col("id").alias("_at"))
     every = docs.unionByName(parts, True).unionByName(ideas, True).unionByName(talks, True)
-    return every.groupBy("id").agg(*[F.max(c).alias(c) for c in ("type", "label", "sector", "document", "sitting_date")])
+    fields = ("type", "label", "sector", "document", "sitting_date")
+    return every.groupBy("id").agg(F.max_by(F.struct(*fields), F.struct("_own", "_at")).alias("_r")).select("id", *[f"_r.{c}" for c in fields])
 
 
 def edges(contracts: DataFrame, clauses: DataFrame, concepts: DataFrame, tags: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
@@ -29,31 +34,13 @@ def edges(contracts: DataFrame, clauses: DataFrame, concepts: DataFrame, tags: D
     return out if mentions is None else out.unionByName(mentions.select(F.col("item").alias("source"), F.concat(F.lit("concept:"), "slug").alias("target"), F.lit("mentions").alias("type")))
 
 
-def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key: of a repeated key the greatest by ``order`` counts."""
-    columns = [c for c in rows.columns if c != key]
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r"))
-    return best.select(key, "_r.*").select(*rows.columns)
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, key, line): the graph as JSON lines; written in order of kind and key they are the sorted graph file. Fields without a value are left out."""
+    node = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.to_json(F.struct("id", "type", "label", "sector", "document", "sitting_date")).alias("line"))
+    edge = edges.select(F.lit("edge").alias("kind"), F.concat_ws("|", "source", "target", "type").alias("key"), F.to_json(F.struct("source", "target", "type")).alias("line"))
+    return node.unionByName(edge)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``old`` with the rows of ``new`` put in by key; columns in ``keep`` stay as they were where the key was known."""
-    before = old.select(key, *[F.col(c).alias(f"_old_{c}") for c in keep], F.lit(True).alias("_known"))
-    fresh = new.join(before, key, "left")
-    for c in keep:
-        fresh = fresh.withColumn(c, F.when(F.col("_known"), F.col(f"_old_{c}")).otherwise(F.col(c)))
-    return old.join(new.select(key), key, "left_anti").unionByName(fresh.select(*old.columns))
-
-
-def merge_actions(old: DataFrame, new: DataFrame, key: str, scope: str, compare: tuple[str, ...]) -> DataFrame:
-    """(key, action): insert, update, keep or delete; rows of ``old`` are deleted only within the scopes that ``new`` holds."""
-    sign = lambda df, name: df.select(key, F.xxhash64(*compare).alias(name))
-    touched = new.select(scope).distinct()
-    both = sign(old.join(touched, scope, "left_semi"), "_o").join(sign(new, "_n"), key, "full_outer")
-    action = F.when(F.col("_o").isNull(), "insert").when(F.col("_n").isNull(), "delete").when(F.col("_o") == F.col("_n"), "keep").otherwise("update")
-    return both.select(key, action.alias("action"))
-
-
-def orphans(concepts: DataFrame, tags: DataFrame) -> DataFrame:
-    """Concepts that no edge names."""
-    return concepts.join(tags.select(F.col("concept_id").alias("id")).where("id is not null"), "id", "left_anti")
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The sorted graph as text files that are in order from file to file; replaces what is in the folder."""
+    graph_lines(nodes, edges).orderBy(F.desc("kind"), "key").select("line").write.mode("overwrite").text(folder)

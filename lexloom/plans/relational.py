@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import graph, segment
+from lexloom.operators import graph, merge, retrieve, segment
 from lexloom.operators.redline import redline
 from lexloom.runtime import read
 
@@ -14,11 +14,14 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, queries: dict | None = None, texts: dict | None = None):
+    """Registers a query under its name, with its SQL if it has one."""
+    queries, texts = Q if queries is None else queries, SQL if texts is None else texts
+
     def add(f):
-        Q[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            texts[f.__name__] = sql
         return f
 
     return add
@@ -128,7 +131,7 @@ _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sprs_id ORDE
 @query(f"SELECT sprs_id, id, title, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM ({_LATEST})")
 def current_items(spark: SparkSession, d: str) -> DataFrame:
     """The last scrape of each item."""
-    rows = graph.latest(read(spark, d, "parliament_items"), "sprs_id", "created_at", "id")
+    rows = merge.latest(read(spark, d, "parliament_items"), "sprs_id", "created_at", "id")
     return rows.select("sprs_id", "id", "title", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
@@ -146,8 +149,8 @@ def upserted_items(spark: SparkSession, d: str) -> DataFrame:
     """The first scrapes with the last ones put in; ids stay."""
     items = read(spark, d, "parliament_items").where("sprs_id is not null")
     first = items.groupBy("sprs_id").agg(F.min_by(F.struct("id", "title"), F.struct("created_at", "id")).alias("_f")).select("sprs_id", "_f.*")
-    last = graph.latest(items, "sprs_id", "created_at", "id").select("sprs_id", "id", "title")
-    return graph.upsert(first, last, "sprs_id", keep=("id",))
+    last = merge.latest(items, "sprs_id", "created_at", "id").select("sprs_id", "id", "title")
+    return merge.upsert(first, last, "sprs_id", keep=("id",))
 
 
 @query(
@@ -212,40 +215,165 @@ def segmented_clauses(spark: SparkSession, d: str) -> DataFrame:
     return segment.segment(read(spark, d, "blocks"))
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orphan_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that no line names."""
+    return merge.orphans(read(spark, d, "orders"), read(spark, d, "lineitem").select("l_orderkey"), "o_orderkey").select("o_orderkey", "o_custkey")
+
+
 @query("SELECT id, slug FROM concepts WHERE id NOT IN (SELECT concept_id FROM clause_concepts WHERE concept_id IS NOT NULL)")
 def orphan_concepts(spark: SparkSession, d: str) -> DataFrame:
-    return graph.orphans(read(spark, d, "concepts"), read(spark, d, "clause_concepts")).select("id", "slug")
+    return merge.orphans(read(spark, d, "concepts"), read(spark, d, "clause_concepts").select("concept_id")).select("id", "slug")
 
 
 _LABEL = "CASE WHEN coalesce(trim(number), '') <> '' OR coalesce(trim(heading), '') <> '' THEN concat_ws(' ', nullif(trim(number), ''), nullif(trim(heading), '')) ELSE coalesce(anchor, 'Clause') END"
 
 
-@query(f"""SELECT id, max(type) AS type, max(label) AS label, max(sector) AS sector, max(document) AS document, max(sitting_date) AS sitting_date FROM (
-  SELECT 'document:' || slug AS id, 'document' AS type, coalesce(title, slug) AS label, coalesce(sector, '') AS sector, NULL AS document, NULL AS sitting_date FROM contracts
-  UNION ALL SELECT 'clause:' || ref, 'clause', {_LABEL}, NULL, string_split(ref, '#')[1], NULL FROM clauses WHERE ref IS NOT NULL
-  UNION ALL SELECT 'concept:' || slug, 'concept', coalesce(name, slug), NULL, NULL, NULL FROM concepts
-  UNION ALL SELECT 'parliament:' || coalesce({_DAY}, '') || '-' || slug, 'parliament_item', coalesce(title, slug), NULL, NULL, {_DAY} FROM parliament_items WHERE slug IS NOT NULL) GROUP BY id""")
+_NODES = f"""SELECT id, r.type AS type, r.label AS label, r.sector AS sector, r.document AS document, r.sitting_date AS sitting_date FROM (SELECT id, arg_max({{'type': type, 'label': label, 'sector': sector, 'document': document, 'sitting_date': sitting_date}}, (own, pos)) AS r FROM (
+  SELECT 'document:' || slug AS id, 'document' AS type, coalesce(title, slug) AS label, coalesce(sector, '') AS sector, NULL AS document, NULL AS sitting_date, title IS NOT NULL AS own, id AS pos FROM contracts
+  UNION ALL SELECT 'clause:' || ref, 'clause', {_LABEL}, NULL, string_split(ref, '#')[1], NULL, true, id FROM clauses WHERE ref IS NOT NULL
+  UNION ALL SELECT 'concept:' || slug, 'concept', coalesce(name, slug), NULL, NULL, NULL, name IS NOT NULL, id FROM concepts
+  UNION ALL SELECT 'parliament:' || coalesce({_DAY}, '') || '-' || slug, 'parliament_item', coalesce(title, slug), NULL, NULL, {_DAY}, title IS NOT NULL, id FROM parliament_items WHERE slug IS NOT NULL) GROUP BY id)"""
+
+
+@query(_NODES)
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(*[read(spark, d, x) for x in ("contracts", "clauses", "concepts", "parliament_items")])
 
 
-@query("""SELECT 'document:' || slug AS source, 'clause:' || ref AS target, 'contains' AS type FROM clauses JOIN contracts ON contracts.id = document_id WHERE ref IS NOT NULL
-UNION ALL SELECT 'clause:' || ref, 'concept:' || o.slug, 'tagged' FROM clause_concepts e JOIN clauses c ON c.id = e.clause_id JOIN concepts o ON o.id = e.concept_id WHERE ref IS NOT NULL""")
+_EDGES = """SELECT 'document:' || slug AS source, 'clause:' || ref AS target, 'contains' AS type FROM clauses JOIN contracts ON contracts.id = document_id WHERE ref IS NOT NULL
+UNION ALL SELECT 'clause:' || ref, 'concept:' || o.slug, 'tagged' FROM clause_concepts e JOIN clauses c ON c.id = e.clause_id JOIN concepts o ON o.id = e.concept_id WHERE ref IS NOT NULL"""
+
+
+@query(_EDGES)
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(*[read(spark, d, x) for x in ("contracts", "clauses", "concepts", "clause_concepts")])
 
 
-_SPLIT = "(SELECT * FROM clauses WHERE ref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ref ORDER BY id) = 1)", "(SELECT * FROM clauses WHERE ref IS NOT NULL AND document_id % 2 = 0 AND order_index % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY id DESC) = 1)"
+_NAMED = """SELECT i.doc_id, slug FROM documents i JOIN (SELECT slug, '(?i)\\b' || array_to_string(w, '\\W+') || 's?\\b' AS pattern FROM (SELECT slug, regexp_extract_all(lower(name), '[a-z]+') AS w FROM concepts) WHERE len(w) > 1 OR (len(w) = 1 AND length(w[1]) >= 6)) n
+  ON regexp_matches(coalesce(title, '') || chr(10) || coalesce(text, ''), pattern) WHERE slug IN (SELECT o.slug FROM clause_concepts e JOIN concepts o ON o.id = e.concept_id GROUP BY 1 HAVING count(DISTINCT clause_id) >= 2)"""
+_MENTIONS = f"SELECT DISTINCT 'text:' || doc_id AS source, 'concept:' || slug AS target, 'mentions' AS type FROM ({_NAMED})"
+
+
+def _mentioned(spark: SparkSession, d: str) -> DataFrame:
+    """(item, slug): concepts that the documents of the corpus name."""
+    concepts, tags = read(spark, d, "concepts"), retrieve.clause_tags(read(spark, d, "clause_concepts"), read(spark, d, "concepts"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body_text"))
+    return retrieve.item_tags(texts, concepts, tags, retrieve.Settings()).select(F.concat(F.lit("text:"), F.col("item_id").cast("string")).alias("item"), "slug")
+
+
+@query(_MENTIONS)
+def mention_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from texts to the concepts they name."""
+    none = [read(spark, d, x).limit(0) for x in ("contracts", "clauses", "concepts", "clause_concepts")]
+    return graph.edges(*none, _mentioned(spark, d))
 
 
-@query(f"""SELECT coalesce(o.ref, n.ref) AS ref, CASE WHEN o.ref IS NULL THEN 'insert' WHEN n.ref IS NULL THEN 'delete' WHEN o.text IS NOT DISTINCT FROM n.text AND o.heading IS NOT DISTINCT FROM n.heading THEN 'keep' ELSE 'update' END AS action
-FROM (SELECT * FROM {_SPLIT[0]} WHERE document_id IN (SELECT document_id FROM {_SPLIT[1]})) o FULL JOIN {_SPLIT[1]} n ON o.ref = n.ref""")
+@query(f"SELECT concept, count(DISTINCT ref) AS clauses, count(DISTINCT item) AS texts FROM (SELECT target AS concept, source AS item FROM ({_MENTIONS})) m JOIN (SELECT target, source AS ref FROM ({_EDGES}) WHERE type = 'tagged') t ON t.target = m.concept GROUP BY 1")
+def texts_to_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Two hops over the graph, from texts by the concepts they name to the clauses tagged with them, counted by concept."""
+    e = graph_edges(spark, d).where("type = 'tagged'").groupBy(F.col("target").alias("concept")).agg(F.countDistinct("source").alias("clauses"))
+    m = mention_edges(spark, d).groupBy(F.col("target").alias("concept")).agg(F.countDistinct("source").alias("texts"))
+    return e.join(m, "concept").select("concept", "clauses", "texts")
+
+
+@query(f"""SELECT 'node' AS kind, id AS key, '{{"id":' || to_json(id) || ',"type":' || to_json(type) || ',"label":' || to_json(label) || coalesce(',"sector":' || to_json(sector), '') || coalesce(',"document":' || to_json(document), '') || coalesce(',"sitting_date":' || to_json(sitting_date), '') || '}}' AS line FROM ({_NODES})
+UNION ALL SELECT 'edge', source || '|' || target || '|' || type, '{{"source":' || to_json(source) || ',"target":' || to_json(target) || ',"type":' || to_json(type) || '}}' FROM ({_EDGES})""")
+def graph_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the graph file."""
+    return graph.graph_lines(graph_nodes(spark, d), graph_edges(spark, d))
+
+
+_ONCE, _AGAIN = (f"(SELECT * FROM clauses WHERE ref IS NOT NULL AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY ref ORDER BY id {x}) = 1)" for x in ("", "DESC"))
+_LAST = "(SELECT * FROM (SELECT * FROM clauses WHERE ref IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ref ORDER BY id DESC) = 1) WHERE trim(coalesce(text, '')) <> '')"
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the clauses as they first came in with a text, the clauses as they came in last and still have one), by ref."""
+    c = read(spark, d, "clauses").where("ref is not null").select("ref", "id", "document_id", "number", "heading", "text")
+    first = c.where("trim(coalesce(text, '')) <> ''").groupBy("ref").agg(F.min_by(F.struct("id", "document_id", "number", "heading", "text"), "id").alias("r")).select("ref", "r.*")
+    last = merge.latest(c, "ref", "id").where("trim(coalesce(text, '')) <> ''")
+    return first, last.select(*first.columns)
+
+
+@query(f"""SELECT coalesce(o.ref, n.ref) AS ref, CASE WHEN o.ref IS NULL THEN 'insert' WHEN n.ref IS NULL THEN 'delete' WHEN o.text IS NOT DISTINCT FROM n.text AND o.heading IS NOT DISTINCT FROM n.heading AND o.number IS NOT DISTINCT FROM n.number THEN 'keep' ELSE 'update' END AS action
+FROM (SELECT * FROM {_ONCE} WHERE document_id IN (SELECT document_id FROM {_LAST})) o FULL JOIN {_LAST} n ON o.ref = n.ref""")
 def clause_merge(spark: SparkSession, d: str) -> DataFrame:
-    """What a re-ingest of every second contract, with some clauses gone, does to the clauses by ref."""
-    c = read(spark, d, "clauses").where("ref is not null")
-    pick = lambda rows, f: rows.groupBy("ref").agg(f(F.struct("document_id", "heading", "text"), "id").alias("r")).select("ref", "r.*")
-    new = pick(c.where("document_id % 2 = 0 and order_index % 7 <> 3"), F.max_by)
-    return graph.merge_actions(pick(c, F.min_by), new, "ref", "document_id", ("heading", "text"))
+    """What the last ingest of every contract does to the clauses of the first, by ref."""
+    return merge.merge_actions(*_versions(spark, d), "ref", "document_id", ("number", "heading", "text"))
+
+
+@query(f"""SELECT n.ref, coalesce(o.id, n.id) AS id, n.document_id, n.heading, n.text FROM {_LAST} n LEFT JOIN (SELECT * FROM {_ONCE} WHERE document_id IN (SELECT document_id FROM {_LAST})) o ON o.ref = n.ref
+UNION ALL SELECT ref, id, document_id, heading, text FROM {_ONCE} WHERE document_id IS NULL OR document_id NOT IN (SELECT document_id FROM {_LAST} WHERE document_id IS NOT NULL)""")
+def merged_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """The clauses after that ingest; ids of known refs stay."""
+    return merge.merged(*_versions(spark, d), "ref", "document_id", keep=("id",)).select("ref", "id", "document_id", "heading", "text")
+
+
+@query(f"""WITH old AS (SELECT DISTINCT c.document_id, e.clause_id, e.concept_id FROM clause_concepts e JOIN clauses c ON c.id = e.clause_id WHERE e.concept_id IS NOT NULL AND c.document_id IS NOT NULL),
+again AS (SELECT document_id FROM clauses WHERE ref IS NOT NULL AND document_id IS NOT NULL GROUP BY 1 HAVING count(*) > count(DISTINCT ref)),
+new AS (SELECT o.* FROM old o WHERE document_id IN (FROM again) AND clause_id IN (SELECT id FROM {_AGAIN}))
+SELECT * FROM old WHERE document_id NOT IN (FROM again) UNION ALL SELECT * FROM new""")
+def replaced_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Concept edges after those of contracts that came in more than once are replaced by the edges of their last clauses."""
+    c = read(spark, d, "clauses").where("document_id is not null")
+    e = read(spark, d, "clause_concepts").where("concept_id is not null").select("clause_id", "concept_id").distinct()
+    old = e.join(c.select(F.col("id").alias("clause_id"), "document_id"), "clause_id").select("document_id", "clause_id", "concept_id")
+    again = c.where("ref is not null").groupBy("document_id").agg(F.count("*").alias("n"), F.countDistinct("ref").alias("refs")).where("n > refs")
+    last = merge.latest(read(spark, d, "clauses").where("trim(coalesce(text, '')) <> ''").select("ref", "id"), "ref", "id").select(F.col("id").alias("clause_id"))
+    return merge.replace_children(old, old.join(last, "clause_id", "left_semi"), again, "document_id").select("document_id", "clause_id", "concept_id")
+
+
+def _keyword_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = read(spark, d, "clauses").where("document_id is not null")
+    e = read(spark, d, "clause_concepts").where("concept_id is not null").select(F.col("clause_id").alias("id"), "concept_id").distinct()
+    old = c.join(e, "id").select("document_id", F.col("concept_id").cast("string").alias("label")).distinct()
+    new = c.select("document_id", F.explode(F.filter(F.array(*[F.lit(k) for k in _KEYS]), lambda k: F.contains(F.lower("text"), k))).alias("label")).distinct()
+    return old, new
+
+
+_LABELS = f"""WITH old AS (SELECT DISTINCT document_id, concept_id::VARCHAR AS label FROM clause_concepts e JOIN clauses c ON c.id = e.clause_id WHERE concept_id IS NOT NULL AND document_id IS NOT NULL),
+new AS (SELECT DISTINCT document_id, k AS label FROM clauses, (VALUES {', '.join(f"('{k}')" for k in _KEYS)}) t(k) WHERE contains(lower(text), k) AND document_id IS NOT NULL)"""
+
+
+@query(_LABELS + " SELECT * FROM old UNION ALL SELECT * FROM new WHERE document_id NOT IN (SELECT document_id FROM old)")
+def labels_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of contracts after a run by keywords that leaves labelled contracts as they are."""
+    return merge.keep_unless_forced(*_keyword_labels(spark, d), "document_id")
+
+
+@query(_LABELS + " SELECT * FROM old WHERE document_id NOT IN (SELECT document_id FROM new) UNION ALL SELECT * FROM new")
+def labels_forced(spark: SparkSession, d: str) -> DataFrame:
+    """The same run when it is forced."""
+    return merge.keep_unless_forced(*_keyword_labels(spark, d), "document_id", force=True)
+
+
+_LOG = "(SELECT user_id, seq, before, after FROM (SELECT user_id, event_id AS seq, lag(event_type) OVER w AS before, event_type AS after, row_number() OVER w AS n FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n > 1 AND before IS DISTINCT FROM after)"
+
+
+@query(f"SELECT * FROM {_LOG}")
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of changes from one kind of event of a user to another."""
+    return merge.change_log(read(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query(f"SELECT user_id, arg_max(after, seq) AS value, count(*) AS changes FROM {_LOG} GROUP BY 1")
+def log_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """What the log says that each user did last."""
+    return merge.replayed(change_log(spark, d), "user_id")
+
+
+@query(f"SELECT user_id, arg_min(before, seq) AS value FROM {_LOG} WHERE after <> 'error' GROUP BY 1")
+def log_rewound(spark: SparkSession, d: str) -> DataFrame:
+    """What each user did before the first change that was no error."""
+    return merge.rewound(change_log(spark, d), "user_id", F.col("after") != "error")
+
+
+@query(f"SELECT user_id, after AS event_type, min(greatest(v - 1, 1)) AS version FROM (SELECT user_id, after, row_number() OVER (PARTITION BY user_id ORDER BY seq) + 1 AS v FROM {_LOG}) GROUP BY 1, 2")
+def versions_rewound(spark: SparkSession, d: str) -> DataFrame:
+    """The version that each user and kind of event goes back to: the least version that such a change was made from, 1 at least."""
+    log = change_log(spark, d).withColumn("v", F.row_number().over(Window.partitionBy("user_id").orderBy("seq")) + 1)
+    return log.groupBy("user_id", F.col("after").alias("event_type")).agg(F.min(F.greatest(F.col("v") - 1, F.lit(1))).alias("version"))
 
 
 @query("SELECT category, count(r.doc_id) AS n, count(r.doc_id) FILTER (flagged = 1) AS flagged FROM (VALUES ('abuse'), ('hate'), ('sexual'), ('spam')) v(category) LEFT JOIN review_labels r USING (category) GROUP BY 1")

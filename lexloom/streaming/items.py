@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexloom.functions import text as T
-from lexloom.operators.graph import latest, upsert
+from lexloom.operators.merge import latest, upsert
 
 
 def ingest(spark: SparkSession, landing: str, schema: StructType, store: str, checkpoint: str) -> None:

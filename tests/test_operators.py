@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexloom.operators import graph, retrieve, segment
+from lexloom.operators import graph, merge, order, retrieve, rollup, segment
 from lexloom.operators.redline import redline_ops
 
 
@@ -68,9 +68,9 @@ def test_redline_gives_both_texts(before, after):
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, id int, v string")
     new = spark.createDataFrame([("b", 9, "z"), ("c", 8, "w")], "k string, id int, v string")
-    once = graph.upsert(old, new, "k", keep=("id",))
+    once = merge.upsert(old, new, "k", keep=("id",))
     assert sorted(map(tuple, once.collect())) == [("a", 1, "x"), ("b", 2, "z"), ("c", 8, "w")]
-    assert sorted(map(tuple, graph.upsert(once, new, "k", keep=("id",)).collect())) == sorted(map(tuple, once.collect()))
+    assert sorted(map(tuple, merge.upsert(once, new, "k", keep=("id",)).collect())) == sorted(map(tuple, once.collect()))
 
 
 def corpus(spark, texts, edges=()):
@@ -125,3 +125,68 @@ def test_gate_is_inclusive_and_the_budget_takes_the_best(spark):
     ranks = spark.createDataFrame([(0, 1, 12.0), (1, 1, 40.0), (2, 1, 20.0), (3, 1, 25.0)], "item_id long, rank int, score double")
     out = retrieve.gated(ranks, items(spark, *"abcde"), retrieve.Settings(budget=2))
     assert {r["item_id"]: r["outcome"] for r in out.collect()} == {0: "gated", 1: "judged", 2: "over_budget", 3: "judged", 4: "no_candidates"}
+
+
+def test_merge_actions_tell_nulls_apart(spark):
+    """A null in one column is not the same as a null in another."""
+    schema = "k string, s int, a string, b string"
+    old = spark.createDataFrame([("x", 1, None, "v"), ("same", 1, None, None), ("gone", 1, "q", "q"), ("other", 2, "q", "q")], schema)
+    new = spark.createDataFrame([("x", 1, "v", None), ("same", 1, None, None), ("new", 1, "q", "q")], schema)
+    assert {r["k"]: r["action"] for r in merge.merge_actions(old, new, "k", "s", ("a", "b")).collect()} == {"x": "update", "same": "keep", "gone": "delete", "new": "insert"}
+    assert sorted(r["k"] for r in merge.merged(old, new, "k", "s").collect()) == ["new", "other", "same", "x"]
+    again = merge.merged(merge.merged(old, new, "k", "s"), new, "k", "s")
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, merge.merged(old, new, "k", "s").collect()), key=str)
+
+
+def test_labels_edges_and_first_valid(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "z")], "p int, v string")
+    new = spark.createDataFrame([(1, "n"), (3, "m")], "p int, v string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(merge.keep_unless_forced(old, new, "p")) == [(1, "a"), (2, "b"), (3, "m"), (None, "z")]
+    assert rows(merge.keep_unless_forced(old, new, "p", force=True)) == [(1, "n"), (2, "b"), (3, "m"), (None, "z")]
+    assert rows(merge.replace_children(old, new.where("p = 3"), spark.createDataFrame([(2,)], "p int"), "p")) == [(1, "a"), (None, "z")]
+    values = spark.createDataFrame([(1, 0, "bad"), (1, 1, "ok"), (1, 2, "fine"), (2, 0, None)], "k int, o int, v string")
+    first = merge.first_valid(values, "k", "v", ("o",), ("ok", "fine"))
+    assert rows(first) == [(1, "ok")]
+    assert rows(merge.update_where_given(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), first, "k", "v")) == [(1, "ok"), (2, "y")]
+
+
+def test_log_replay_and_rewind(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, None), ("b", 1, "q"), (None, 1, "w")], "k string, n int, v string")
+    log = merge.change_log(rows, "k", "v", "n")
+    assert sorted(map(tuple, log.collect())) == [("a", 3, "x", "y"), ("a", 4, "y", None)]
+    assert list(map(tuple, merge.replayed(log, "k").collect())) == [("a", None, 2)]
+    assert list(map(tuple, merge.rewound(log, "k").collect())) == [("a", "x")]
+    assert list(map(tuple, merge.rewound(log, "k", F.col("seq") > 3).collect())) == [("a", "y")]
+
+
+def test_rollups(spark):
+    df = spark.createDataFrame([(1, "low", "done"), (1, "high", "done"), (2, "odd", "new"), (2, None, None), (3, "medium", "new"), (3, "low", "done")], "k int, s string, t string")
+    got = df.groupBy("k").agg(rollup.greatest_of(F.col("s"), ("low", "medium", "high"), "low").alias("s"), rollup.settled_state(F.col("t"), "new", "done", "open", "closed", "mixed").alias("t")).collect()
+    assert sorted(map(tuple, got)) == [(1, "high", "closed"), (2, "low", "open"), (3, "medium", "mixed")]
+    counts = rollup.zero_filled(spark.createDataFrame([("a", 2)], "w string, n long"), spark.createDataFrame([("a",), ("b",)], "w string"), "w")
+    assert sorted(map(tuple, counts.collect())) == [("a", 2), ("b", 0)]
+
+
+def test_positions_and_dealing(spark):
+    draw = random.Random(2)
+    rows = [(draw.random(), i) for i in range(500)]
+    got = order.positions(spark.createDataFrame(rows, "x double, i int"), "x", "i").orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(500)) and [(r["x"], r["i"]) for r in got] == sorted(rows)
+    assert order.positions(spark.createDataFrame([], "x int"), "x").count() == 0
+    hands = spark.createDataFrame([(0, "p"), (1, "q"), (2, "r")], "position long, hand string")
+    dealt = order.dealt_out(spark.createDataFrame([(0, "a"), (4, "b")], "position long, row string"), hands, 2)
+    assert sorted((r["row"], r["hand"]) for r in dealt.collect()) == [("a", "p"), ("a", "q"), ("b", "q"), ("b", "r")]
+    assert order.dealt_out(spark.createDataFrame([(0, "a")], "position long, row string"), hands.limit(0), 2).count() == 0
+
+
+def test_graph_takes_rows_whole_and_keeps_curated_labels(spark):
+    contracts = spark.createDataFrame([(1, "d", "Curated", "law"), (2, "d", None, "other")], "id long, slug string, title string, sector string")
+    none = spark.createDataFrame([], "id long, ref string, number string, heading string, anchor string, document_id long")
+    concepts, items = spark.createDataFrame([], "id long, slug string, name string"), spark.createDataFrame([], "id long, slug string, title string, sitting_date string")
+    nodes = graph.nodes(contracts, none, concepts, items)
+    assert [(r["id"], r["label"], r["sector"]) for r in nodes.collect()] == [("document:d", "Curated", "law")]
+    edges = graph.edges(contracts, none, concepts, spark.createDataFrame([], "clause_id long, concept_id long"), spark.createDataFrame([("item:1", "rent")], "item string, slug string"))
+    assert list(map(tuple, edges.collect())) == [("item:1", "concept:rent", "mentions")]
+    lines = [r["line"] for r in graph.graph_lines(nodes, edges).orderBy(F.desc("kind"), "key").collect()]
+    assert lines == ['{"id":"document:d","type":"document","label":"Curated","sector":"law"}', '{"source":"item:1","target":"concept:rent","type":"mentions"}']
