@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
+from lexloom.operators import order
+from lexloom.plans.relational import _DAY
+from lexloom.plans.scalars import _SLUG, _WS, _cut
 from lexloom.runtime import Scratch, read
-from lexloom.sources import inbox, markdown
+from lexloom.sources import feed, inbox, markdown, report
 from lexloom.streaming import items as stream
 
 
@@ -48,6 +54,51 @@ def streamed_items(spark: SparkSession, d: str) -> DataFrame:
     return stream.current(spark, f"{scratch.root}/store", items.schema).select("sprs_id", "title")
 
 
+_CODES = {"oral answer": "OA", "written answer": "WA", "written answer (not answered)": "WANA", "debate": "OS", "written statement": "WS"}
+
+
+def sitting_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of all sittings, each taken as a section of its sitting's report and read as such."""
+    i = read(spark, d, "parliament_items")
+    code = F.lit("XX")
+    for label, x in _CODES.items():
+        code = F.when(F.col("item_type") == label, x).otherwise(code)
+    content = F.concat(F.lit("<p>"), F.replace(F.replace("body_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
+    parts = i.select(T.iso_date(F.col("sitting_date")).alias("sitting_date"), F.col("id").alias("position"), code.alias("section_type"), "title", content.alias("content"))
+    return report.items(parts).select("position", "sprs_id", "slug", "sitting_date", "item_type", F.length("body_text").alias("chars"))
+
+
+def _recorded(spark: SparkSession, d: str) -> str:
+    """A folder with the recorded pages of a search for all items with a day, the newest first."""
+    scratch = Scratch(spark, "feed")
+    i = read(spark, d, "parliament_items").select("id", "title", "sprs_id", "speaker", T.iso_date(F.col("sitting_date")).alias("day")).where("day is not null")
+    i = order.positions(i.withColumn("_new", -F.unix_date(F.col("day").cast("date"))), "_new", "id", scratch=scratch)
+    hits = i.count()
+    hit = F.struct("title", F.col("sprs_id").alias("reportId"), F.date_format(F.col("day").cast("date"), "d-M-yyyy").alias("sittingDate"), F.lit(str(hits)).alias("maxResult"), F.col("speaker").alias("memberName"))
+    pages = i.groupBy(F.floor(F.col("position") / feed.PAGE).alias("page")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("position", hit.alias("hit")))), lambda x: x.getField("hit"))).alias("hits"))
+    folder = f"{scratch.root}/pages"
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page, held in zip(batch["page"], batch["hits"]):
+                feed.record(folder, feed.page_name("2000-01-01", "2030-12-31", int(page) * feed.PAGE), json.loads(held))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    pages.mapInPandas(store, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of half a year, replayed from recorded pages; the days are pushed down to the source."""
+    hits = feed.search(spark, _recorded(spark, d), "2000-01-01", "2030-12-31")
+    return hits.where("sitting_date >= '2024-01-01' and sitting_date <= '2024-06-30'").select("reportId", "sitting_date", "title", "memberName")
+
+
+def sitting_days(spark: SparkSession, d: str) -> DataFrame:
+    """All sitting days that the recorded pages tell of."""
+    return feed.search(spark, _recorded(spark, d), "2000-01-01", "2030-12-31").select("sitting_date").distinct()
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     out = stream.windowed_counts(read(spark, d, "events"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -70,9 +121,18 @@ def _rules(prompt: str) -> str:
     return f"Answer: {json.dumps({'kind': 'money' if any(w in prompt.lower() for w in ('rent', 'deposit', 'payment', 'charge')) else 'other'})}."
 
 
-QUERIES = {f.__name__: f for f in (document_pages, pages_read_back, concept_pages, item_pages, index_lines, streamed_items, event_windows, user_sessions, judged_clauses)}
+QUERIES = {f.__name__: f for f in (document_pages, pages_read_back, concept_pages, item_pages, index_lines, streamed_items, sitting_items, search_hits, sitting_days, event_windows, user_sessions, judged_clauses)}
+
+_ITEM_SLUG = _cut(_SLUG.format(_WS.format("coalesce(title, '')")), 80)
+_CODE = "CASE item_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " ELSE 'XX' END"
 
 SQL = {
+    "sitting_items": f"""SELECT position, 'report:' || sitting_date || ':' || lower(code) || ':' || slug AS sprs_id, slug, sitting_date, coalesce(CASE WHEN code <> 'XX' THEN item_type END, 'xx') AS item_type, CAST(chars AS INTEGER) AS chars FROM (
+      SELECT position, sitting_date, code, item_type, chars, CASE WHEN row_number() OVER w = 1 THEN base ELSE base || '-' || row_number() OVER w END AS slug FROM (
+        SELECT id AS position, {_DAY} AS sitting_date, {_CODE} AS code, item_type, {_ITEM_SLUG} AS base, length({_WS.format('body_text')}) AS chars FROM parliament_items WHERE {_WS.format('body_text')} <> '')
+      WINDOW w AS (PARTITION BY sitting_date, base ORDER BY position))""",
+    "search_hits": f"SELECT sprs_id AS \"reportId\", {_DAY} AS sitting_date, title, speaker AS \"memberName\" FROM parliament_items WHERE {_DAY} BETWEEN '2024-01-01' AND '2024-06-30'",
+    "sitting_days": f"SELECT DISTINCT {_DAY} AS sitting_date FROM parliament_items WHERE {_DAY} IS NOT NULL",
     "pages_read_back": """WITH e AS (SELECT clause_id, count(DISTINCT o.slug) AS n FROM clause_concepts e JOIN concepts o ON o.id = e.concept_id GROUP BY 1)
       SELECT slug, count(*) AS n, sum(coalesce(e.n, 0)) AS n_concepts FROM contracts d JOIN clauses c ON c.document_id = d.id LEFT JOIN e ON e.clause_id = c.id WHERE d.parse_error IS NULL GROUP BY 1""",
     "index_lines": "SELECT lower(sector) AS sector, slug, '- [[' || slug || '|' || coalesce(title, slug) || ']]' AS line FROM contracts",

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import io, nested, patterns, relational, retrieval, scalars
+from lexloom.plans import io, judging, nested, patterns, relational, retrieval, scalars
 
 #: Name of the query that stands for the engine.
 FLAGSHIP = "ranked_clauses"
 
-_MODULES = (io, nested, patterns, relational, retrieval, scalars)
+_MODULES = (io, judging, nested, patterns, relational, retrieval, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators.nested import parse
+from lexloom.runtime import Scratch
 
 FORMATS = ("docx", "html", "htm", "txt", "md")
 KNOWN = (*FORMATS, "pdf", "doc")
@@ -122,7 +123,8 @@ def ask(requests: DataFrame, cached: DataFrame, name: str, model: str) -> tuple[
     """(answers, new): answers (id, key, answer) of requests (id, prompt), and the rows to add to the cache (key, answer).
 
     Known answers come from ``cached``; of equal prompts one is asked; a failure or an answer that is no JSON is null
-    and not kept, so that it is asked again the next time.
+    and not kept, so that it is asked again the next time. New answers are written to scratch once, so nothing is asked twice
+    and the answers are those that go to the cache.
     """
     call = provider(name)
     keyed = requests.withColumn("key", cache_key(provider=F.lit(name), model=F.lit(model), prompt=F.col("prompt")))
@@ -140,5 +142,5 @@ def ask(requests: DataFrame, cached: DataFrame, name: str, model: str) -> tuple[
             yield pd.DataFrame(out, columns=["key", "answer"])
 
     missing = keyed.join(cached.select("key"), "key", "left_anti").groupBy("key").agg(F.first("prompt").alias("prompt"))
-    new = missing.mapInPandas(answer, "key string, answer string").where("answer is not null")
+    new = Scratch(requests.sparkSession, "answers").put(missing.mapInPandas(answer, "key string, answer string").where("answer is not null"), "new")
     return keyed.join(cached.unionByName(new), "key", "left").select("id", "key", "answer"), new

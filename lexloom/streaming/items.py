@@ -8,40 +8,28 @@ from pyspark.sql.types import StructType
 
 from lexloom.functions import text as T
 from lexloom.operators.merge import latest, upsert
+from lexloom.streaming.store import BucketStore
 
 
-def ingest(spark: SparkSession, landing: str, schema: StructType, store: str, checkpoint: str) -> None:
-    """Take in what is new in the landing folder and end. ``store`` holds one generation of the table per batch.
+def ingest(spark: SparkSession, landing: str, schema: StructType, store: str, checkpoint: str, files_per_batch: int | None = None) -> None:
+    """Take in what is new in the landing folder and end; ``store`` is kept in buckets, of which a batch writes those it hits.
 
-    The stream's checkpoint is the set of files seen; a batch that is run again writes its own generation again.
+    The stream's checkpoint is the set of files seen; a batch that is run again leaves the same table.
     """
-    stream = spark.readStream.schema(schema).parquet(landing)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(landing)
+    table = BucketStore(spark, store, schema, "sprs_id")
 
     def put(batch: DataFrame, number: int) -> None:
-        new = latest(batch, "sprs_id", "created_at", "id")
-        path = f"{store}/batch={number}"
-        before = current(spark, store, schema, below=number)
-        upsert(before, new, "sprs_id", keep=("id",)).write.mode("overwrite").parquet(path)
+        table.merge(number, latest(batch, "sprs_id", "created_at", "id"), lambda old, new: upsert(old, new, "sprs_id", keep=("id",)))
 
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def current(spark: SparkSession, store: str, schema: StructType, below: int | None = None) -> DataFrame:
-    """The newest finished generation (of a batch before ``below``), or an empty table."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(store)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    numbers = []
-    if fs.exists(root):
-        for x in fs.listStatus(root):
-            name = x.getPath().getName()
-            if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")):
-                numbers.append(int(name.split("=")[1]))
-    numbers = [n for n in numbers if below is None or n < below]
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{store}/batch={max(numbers)}")
+def current(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
+    """The table as the last finished batch left it; empty before the first."""
+    return BucketStore(spark, store, schema, "sprs_id").read()
 
 
 def lookback(items: DataFrame, today: str, days: int = 7) -> DataFrame:
@@ -63,3 +51,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def late_events(spark: SparkSession, landing: str, schema: StructType, store: str, checkpoint: str, late: str = "10 minutes", width: str = "1 hour") -> None:
+    """Windowed counts of a stream of events, appended when their window is closed; rows behind the watermark are left out.
+
+    Each file of the landing folder is a batch of its own, in the order of their names' times.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    out = windowed_counts(events, late, width)
+    out.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

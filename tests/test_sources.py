@@ -3,8 +3,10 @@ import zipfile
 
 import pytest
 
+from lexloom.operators.merge import upsert
 from lexloom.sources import inbox, markdown
 from lexloom.streaming import items as stream
+from lexloom.streaming.store import BucketStore
 
 
 def docx(path, body):
@@ -88,3 +90,38 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     rows((9, "b", "late", 3), (10, "c", "c", 3)).write.mode("append").parquet(land)
     run()
     assert table() == [("a", 3, "new"), ("b", 2, "late"), ("c", 10, "c")]
+
+
+def test_stream_writes_only_the_buckets_hit(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, sprs_id string, title string, created_at timestamp").schema
+    day = __import__("datetime").datetime
+    land, store, seen = (str(tmp_path / x) for x in ("land", "store", "seen"))
+    rows = lambda x: spark.createDataFrame(x, schema).coalesce(1).write.mode("append").parquet(land)
+    rows([(i, f"s{i}", "old", day(2024, 1, 1)) for i in range(200)])
+    stream.ingest(spark, land, schema, store, seen)
+    table = BucketStore(spark, store, schema, "sprs_id")
+    first = table.versions()
+    rows([(500, "s7", "new", day(2024, 1, 2))])
+    rows([(501, "s8", "new", day(2024, 1, 2)), (502, "extra", "x", day(2024, 1, 2))])
+    stream.ingest(spark, land, schema, store, seen, files_per_batch=1)
+    last = table.versions()
+    changed = {b for b in last if last[b] != first.get(b)}
+    assert 1 <= len(changed) <= 3 and len(first) == 32 and len(table.batches()) == 3
+    got = {r["sprs_id"]: (r["id"], r["title"]) for r in stream.current(spark, store, schema).collect()}
+    assert len(got) == 201 and got["s7"] == (7, "new") and got["s8"] == (8, "new") and got["extra"] == (502, "x") and got["s9"] == (9, "old")
+    # a batch that is run again leaves the same table
+    table.merge(table.batches()[-1], spark.createDataFrame([(501, "s8", "new", day(2024, 1, 2)), (502, "extra", "x", day(2024, 1, 2))], schema), lambda old, new: upsert(old, new, "sprs_id", keep=("id",)))
+    assert {r["sprs_id"]: (r["id"], r["title"]) for r in stream.current(spark, store, schema).collect()} == got
+
+
+def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+    day = __import__("datetime").datetime
+    land, store, seen = (str(tmp_path / x) for x in ("land", "out", "seen"))
+    schema = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double").schema
+    for n, hours in enumerate(([(1, 0), (1, 30)], [(4, 0)], [(4, 5)], [(1, 40), (4, 10)], [(9, 0)], [(9, 5)])):
+        spark.createDataFrame([(n, day(2024, 1, 1, h, m), 1, "view", 1.0) for h, m in hours], schema).coalesce(1).write.mode("append").parquet(land)
+        __import__("time").sleep(1.1)
+    stream.late_events(spark, land, schema, store, seen)
+    got = sorted((r["start"].hour, r["n"]) for r in spark.read.parquet(store).collect())
+    # the row of 1:40 came after the hour was closed; the last window is still open
+    assert got == [(1, 2), (4, 3)]
