@@ -340,13 +340,15 @@ def matches(text: str, lexicon: Lexicon, reach: int = 9) -> list[Match]:
             b += 1
         around = words[a:first] + words[upto + 1 : b + 1]
         # a frame aims at somebody by itself; only who judges it is looked for
-        cues = [w for w in around if w in CUES and (not frame or w in JUDGED)]
+        cues = [w for w in around if w in CUES and not frame]
         if quotes is None:
             quotes = [m.span() for m in _PAIRS_OF_QUOTES.finditer(low)]
         inside = next(((x, y) for x, y in quotes if x <= at < y), None)
         if inside is not None:
             cues.append(QUOTED)
-        if not JUDGED.isdisjoint(around) or (inside is not None and not SAID.isdisjoint(around)) or (first > 0 and words[first - 1] in SAID):
+        # what judges a frame stands right by it
+        close = words[max(a, first - 4) : first] + words[upto + 1 : min(b, upto + 4) + 1] if frame else around
+        if not JUDGED.isdisjoint(close) or (inside is not None and not SAID.isdisjoint(around)) or (first > 0 and words[first - 1] in SAID):
             cues.append(MENTIONED)
         return tuple(cues)
 
@@ -396,15 +398,15 @@ def _follows(words: list[str], at: int, sets: list[frozenset], lexicon: Lexicon)
 
 # ---- weights ----------------------------------------------------------------------------------------------------
 
-#: How sharply a score of 1 parts passages, and how many verdicts move a weight half way.
-SHARP, PRIOR = 4.0, 8.0
+#: How sharply a score of 1 parts passages, how many verdicts move a weight half way, and the share of verdicts that are wrong.
+SHARP, PRIOR, WRONG = 4.0, 8.0, 0.05
 
 
 def fitted(rows: list[tuple[float, list[tuple[float, list[str]]]]], steps: int = 200, rate: float = 0.02) -> dict[str, float]:
     """Cue weights fitted to documents: (share of reviewers that flagged it, [(score by itself, cues) of each match]).
 
     Of a document its highest passage answers for the verdict. Weights are drawn to where they start, a step at a time; cues that
-    few matches have hardly move.
+    few matches have hardly move, and verdicts that speak against all signs count little, as reviewers err.
     """
     start = CUES | HAN_CUES
     names = sorted(start)
@@ -427,7 +429,10 @@ def fitted(rows: list[tuple[float, list[tuple[float, list[str]]]]], steps: int =
         score = base + x @ w
         top = np.lexsort((-score, doc))[begin]
         p = 1 / (1 + np.exp(-np.clip(SHARP * (score[top] - 1), -30, 30)))
-        w -= rate * (SHARP * ((p - y) @ x[top]) + PRIOR * (w - first))
+        # a verdict against all signs is one of those that are wrong, and moves little
+        told = WRONG + (1 - 2 * WRONG) * p
+        pull = (told - y) / (told * (1 - told)) * (1 - 2 * WRONG) * p * (1 - p)
+        w -= rate * (SHARP * (pull @ x[top]) + PRIOR * (w - first))
     return dict(zip(names, w.tolist()))
 
 
