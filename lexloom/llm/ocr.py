@@ -13,8 +13,8 @@ the latter kind are cut into blocks of ``BLOCK`` positions, each with the neares
 no document is ever gathered in one task.
 
 Bounds: the trees are fitted to at most ``TRAIN_WORDS`` words and ``TRAIN_TITLES`` titles; the words sent to all tasks
-to save looking them up are at most ``SENT_WORDS``, all others go through a join. Counts, candidates and corrections
-cover all rows.
+to save looking them up are at most ``SENT_WORDS``; where there are more, misread words and hyphens at line ends are looked
+up among all words by joins. Counts, candidates and corrections cover all rows.
 
 Defined results: null and blank texts have no defects; repeated rows have theirs each (the result is distinct by row id
 and token); rows without document or position are texts of one line; a null title leaves the other signs of a running
@@ -33,8 +33,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from lexloom.llm.boost import Boosted
 from lexloom.runtime import Scratch
@@ -43,6 +44,8 @@ BLOCK, AHEAD = 256, 12
 TRAIN_WORDS, TRAIN_TITLES, SENT_WORDS = 3_000, 400, 100_000
 #: A word must be so many times as frequent as a type to be its correction.
 RATIO = 8
+#: Share of a word's grams that a candidate has to have.
+SHARED = 0.4
 
 WORD = re.compile(r"[^\W_]+(?:[-‐’'][^\W_]+)*")
 HYPHENS = ("-", "‐", "¬")
@@ -110,16 +113,18 @@ def reading_cost(true: str, read: str) -> tuple[float, int, int]:
     return best[n][m]
 
 
-def pair_features(read: str, true: str, n_read: int, n_true: int, shared: float) -> list[float]:
+def pair_features(read: str, true: str, n_read: int, n_true: int, shared: float, most: int | None = None, least: float | None = None) -> list[float]:
+    """Features of a candidate; most and least: the highest count and the lowest cost among all candidates of the word, by default its own."""
     cost, shapes, other = reading_cost(true, read)
-    return [cost, shapes, other, shared, math.log1p(n_true) - math.log1p(n_read), len(true), abs(len(true) - len(read)), float(any(c.isdigit() for c in read)), float(read[:1] == true[:1]), cost / max(1, len(true))]
+    return [math.log1p(n_true) - math.log1p(n_true if most is None else most), 0.0 if least is None else cost - least, cost, shapes, other, shared, math.log1p(n_true) - math.log1p(n_read), len(true), abs(len(true) - len(read)), float(any(c.isdigit() for c in read)), float(read[:1] == true[:1]), cost / max(1, len(true))]
 
 
 def misread_once(word: str, draw: random.Random) -> str | None:
+    """The word with one shape read as another; shapes that look more alike are taken for each other more often."""
     spots = [(i, t, r) for t, r in _READ for i in range(len(word) - len(t) + 1) if word.startswith(t, i)]
     if not spots:
         return None
-    i, t, r = draw.choice(spots)
+    i, t, r = draw.choices(spots, [1 / _COST[t, r] ** 2 for _, t, r in spots])[0]
     return word[:i] + r + word[i + len(t) :]
 
 
@@ -132,28 +137,30 @@ def spell_model(vocabulary: list[tuple[str, int]], seed: int = 7) -> Boosted:
             index.setdefault(g, []).append(k)
     x, y = [], []
 
-    def near(read: str) -> list[tuple[float, int]]:
+    def near(read: str) -> list[tuple[float, int, int, float]]:
         own = grams(read)
         hits = Counter(k for g in own for k in index.get(g, ()))
-        return [(n / len(own), k) for k, n in hits.most_common(4) if n / len(own) >= 0.4]
+        held = [(n / len(own), k) for k, n in hits.most_common(6) if n / len(own) >= SHARED]
+        most, least = max((words[k][1] for _, k in held), default=0), min((reading_cost(words[k][0], read)[0] for _, k in held), default=0.0)
+        return [(share, k, most, least) for share, k in held]
 
     rounds = max(1, min(8, 8_000 // max(1, len(words))))
     for k, (w, n) in [(k, x) for k, x in enumerate(words) for _ in range(rounds)]:
         # both kinds are as rare against their word, so that rarity alone decides nothing
         seen = max(1, int(n / 10 ** draw.uniform(0.9, 4)))
         if read := misread_once(w, draw):
-            for shared, c in near(read):
-                x.append(pair_features(read, words[c][0], seen, words[c][1], shared))
+            for shared, c, most, least in near(read):
+                x.append(pair_features(read, words[c][0], seen, words[c][1], shared, most, least))
                 y.append(float(c == k))
         # rare words of their own right: another letter, one more or one less
         i, letter = draw.randrange(len(w)), draw.choice("abdeghkmnoprstuvwy")
         slip = draw.choice((w[:i] + letter + w[i + 1 :], w[:i] + letter + w[i:], w[:i] + w[i + 1 :], w + "s", w[: len(w) // 2]))
         if slip != w and reading_cost(w, slip)[2]:
-            for shared, c in near(slip):
-                x.append(pair_features(slip, words[c][0], seen, words[c][1], shared))
+            for shared, c, most, least in near(slip):
+                x.append(pair_features(slip, words[c][0], seen, words[c][1], shared, most, least))
                 y.append(0.0)
     if not x or not any(y):
-        x, y = [[9.0] * 10, [0.3] * 10], [0.0, 1.0]
+        x, y = [[9.0] * 12, [0.3] * 12], [0.0, 1.0]
     return Boosted(rounds=40).fit(np.array(x), np.array(y))
 
 
@@ -306,8 +313,10 @@ class Reader:
                 out.update(held)
         return out
 
-    def cut(self, left: str, right: str) -> tuple[bool, bool]:
-        """(is a word cut here, does the hyphen belong to it)."""
+    def cut(self, left: str, right: str, held: dict[str, int] | None = None) -> tuple[bool, bool]:
+        """(is a word cut here, does the hyphen belong to it). held: what is known of pairs of this row."""
+        if held and (code := held.get(f"{left}\t{right}")) is not None:
+            return code > 0, code > 1
         key = (left, right)
         if key not in self.joins:
             f = join_features(left, right, self.counts, self.prefixes)
@@ -315,8 +324,11 @@ class Reader:
             self.joins[key] = (whole, whole and self.keep.one(f) >= 0.5)
         return self.joins[key]
 
-    def read(self, lines: list[tuple[int, str]], title: Title | None, starts: bool) -> tuple[list[str], dict[int, tuple[int, str, str]], list[tuple[int, set]]]:
-        """(kind of each line, {line with the first half: (line with the second, whole word, left part as stored)}, unknown words by line)."""
+    def read(self, lines: list[tuple[int, str]], title: Title | None, starts: bool, held: list[dict | None] | None = None, asked: list | None = None) -> tuple[list[str], dict[int, tuple[int, str, str]], list[tuple[int, set]]]:
+        """(kind of each line, {line with the first half: (line with the second, whole word, left part as stored)}, unknown words by line).
+
+        held: decisions on hyphens by line; asked: gets every (line, left, right) that is to be decided.
+        """
         texts = [t.strip() for _, t in lines]
         kinds = ["blank" if not t else "page_number" if len(t) < 24 and PAGE.match(t) else "body" for t in texts]
         body = [i for i, k in enumerate(kinds) if k == "body"]
@@ -332,7 +344,9 @@ class Reader:
         for n, i in enumerate(body):
             left = HYPHEN_END.search(texts[i]) if texts[i][-1:] in HYPHENS else None
             if left and n + 1 < len(body) and (right := FIRST_WORD.match(texts[body[n + 1]])):
-                whole, kept = self.cut(left.group(1), right.group(1))
+                if asked is not None:
+                    asked.append((i, left.group(1), right.group(1)))
+                whole, kept = self.cut(left.group(1), right.group(1), held[i] if held else None)
                 if whole:
                     cuts[i] = (body[n + 1], f"{left.group(1)}{'-' if kept else ''}{right.group(1)}".lower(), left.group(1))
                     second[body[n + 1]] = right.group(1)
@@ -429,25 +443,46 @@ def word_types(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _grams(words: pd.Series) -> pd.Series:
+    return words.map(grams)
+
+
+@F.pandas_udf(DoubleType())
+def _cost(read: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([reading_cost(t, r)[0] for r, t in zip(read, true)], dtype=float)
+
+
 def corrections(types: DataFrame, model: Boosted) -> DataFrame:
-    """(word, right): what a word type stands for. Inverted join on trigrams of the folded form, then the trees."""
-    cut = F.udf(lambda w: grams(w), "array<string>")
-    letters = types.where("length(word) >= 4 and length(word) <= 40 and length(regexp_replace(word, '[^a-z]', '')) >= 3")
-    shaped = letters.withColumn("gram", cut("word"))
-    lists = shaped.select("word", "n", F.size("gram").alias("size"), F.explode("gram").alias("gram"))
-    true = lists.where(F.col("word").rlike("^[^0-9]+$") & (F.col("n") >= RATIO)).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "gram", F.col("size").alias("size_right"))
-    met = lists.join(true, "gram").where(F.col("n_right") >= RATIO * F.greatest(F.col("n"), F.lit(1))).where((F.col("word") != F.col("right")) & (F.abs(F.length("word") - F.length("right")) <= 2))
-    pairs = met.groupBy("word", "n", "size", "right", "n_right", "size_right").agg(F.count("*").alias("shared")).where(F.col("shared") >= 0.4 * F.col("size"))
+    """(word, right): what a word type stands for; the trees rank its candidates and refuse all below a half.
+
+    Candidates come from an inverted join on trigrams of the folded form. A candidate has at least the share SHARED of a word's
+    grams, so it has one of the word's rarest ones whatever the others are: only as many of them as that takes are looked up,
+    and grams that most words have hardly ever are. How many grams a pair shares is counted on the whole sets.
+    """
+    letters = types.where("length(word) between 4 and 60 and length(regexp_replace(word, '[^a-z]', '')) >= 3").withColumn("grams", _grams("word"))
+    true = letters.where(F.col("word").rlike("^[^0-9]+$") & (F.col("n") >= RATIO)).select(F.col("word").alias("right"), F.col("n").alias("n_right"), F.col("grams").alias("grams_right"))
+    lists = true.select("right", "n_right", "grams_right", F.explode("grams_right").alias("gram"))
+    often = lists.groupBy("gram").agg(F.count("*").alias("often"))
+    held = letters.select("word", "n", "grams", F.explode("grams").alias("gram")).join(often, "gram")
+    # grams that no true word has are as rare as can be
+    sorted_grams = held.groupBy("word").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("met"))
+    missing = F.size("grams") - F.size("met")
+    looked_up = F.greatest(F.size("grams") - F.ceil(F.size("grams") * F.lit(SHARED)).cast("int") + 1 - missing, F.lit(0))
+    sought = sorted_grams.select("word", "n", "grams", F.explode(F.slice("met", F.lit(1), looked_up)).alias("g")).select("word", "n", "grams", F.col("g.gram").alias("gram"))
+    met = sought.join(lists, "gram").where(F.col("n_right") >= RATIO * F.greatest(F.col("n"), F.lit(1))).where((F.col("word") != F.col("right")) & (F.abs(F.length("word") - F.length("right")) <= 2))
+    share = F.size(F.array_intersect("grams", "grams_right")) / F.size("grams")
+    pairs = met.select("word", "n", "right", "n_right", share.alias("share")).where(F.col("share") >= SHARED).distinct().withColumn("cost", _cost("word", "right"))
+    of_word = Window.partitionBy("word")
+    pairs = pairs.withColumn("most", F.max("n_right").over(of_word)).withColumn("least", F.min("cost").over(of_word))
 
     @F.pandas_udf("double")
-    def chance(read: pd.Series, true: pd.Series, n: pd.Series, m: pd.Series, share: pd.Series) -> pd.Series:
-        x = [pair_features(*row) for row in zip(read, true, n, m, share)]
+    def chance(read: pd.Series, true: pd.Series, n: pd.Series, m: pd.Series, share: pd.Series, most: pd.Series, least: pd.Series) -> pd.Series:
+        x = [pair_features(*row) for row in zip(read, true, n, m, share, most, least)]
         return pd.Series(model.chance(np.array(x)) if x else np.zeros(0))
 
-    scored = pairs.withColumn("p", chance("word", "right", "n", "n_right", F.col("shared") / F.col("size"))).where("p >= 0.5")
-    # of candidates the trees find alike, the one that is cheaper to misread as this
-    scored = scored.withColumn("cost", F.udf(lambda true, read: reading_cost(true, read)[0], "double")("right", "word"))
-    return scored.groupBy("word").agg(F.max_by("right", F.struct(F.round("p", 1), -F.col("cost"), "n_right", "right")).alias("right"))
+    scored = pairs.withColumn("p", chance("word", "right", "n", "n_right", "share", "most", "least")).where("p >= 0.5")
+    return scored.groupBy("word").agg(F.max_by("right", F.struct("p", "n_right", "right")).alias("right"))
 
 
 @dataclass
@@ -459,26 +494,95 @@ class Models:
     join: Boosted
     keep: Boosted
     head: Boosted
+    #: Are there more words than are sent to the tasks.
+    more: bool = False
+
+    def reader(self) -> Reader:
+        return Reader(self.counts, self.good, self.join, self.keep, self.head)
+
+
+def _least_count(types: DataFrame) -> int:
+    """The least count with at most SENT_WORDS words of as high a one; words are counted by their counts, so none is sorted."""
+    held, least = 0, None
+    for n, words in types.where("n > 0").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(SENT_WORDS).collect():
+        held += words
+        if held > SENT_WORDS:
+            break
+        least = n
+    return least if least is not None else 2**62
 
 
 def learn(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratch: Scratch) -> tuple[Models, DataFrame]:
     """(models, corrections) of a collection of text rows and line rows."""
     both = texts.select("_text", F.lit(False).alias("_line")).unionByName(lines.where("not _ahead").select("_text", F.lit(True).alias("_line")))
     types = scratch.put(word_types(both), "types")
-    top = [(r["word"], r["n"]) for r in types.where("n > 0").orderBy(F.desc("n"), "word").limit(SENT_WORDS).collect()]
+    most = types.where(F.col("n") >= _least_count(types))
+    top = [(r["word"], r["n"]) for r in most.orderBy(F.desc("n"), "word").collect()]
     spell = spell_model([(w, n) for w, n in top if w.isalpha() and n >= RATIO])
     right = scratch.put(corrections(types, spell), "corrections")
-    wrong = {r["word"] for r in right.join(types.where("n > 0").orderBy(F.desc("n"), "word").limit(SENT_WORDS), "word", "left_semi").select("word").collect()}
+    wrong = {r["word"] for r in right.join(most, "word", "left_semi").select("word").collect()}
     counts = {w: n for w, n in top if w not in wrong}
     join, keep = join_models(counts, prefixes_of(counts))
     sample = texts.where(F.instr("_text", "\n") > 0).select("_text").orderBy(F.xxhash64("_text")).limit(TRAIN_TITLES).collect()
     bodies = [x for r in sample for x in r["_text"][:4000].split("\n") if len(x) > 25 and not x.isupper() and not DRESS.search(x)]
     names = [r[0] for r in titles.select(titles.columns[1]).where(F.col(titles.columns[1]).isNotNull()).orderBy(F.xxhash64(titles.columns[1])).limit(TRAIN_TITLES).collect()] if titles is not None else []
-    return Models(counts, frozenset(counts), join, keep, head_model(names, bodies)), right
+    return Models(counts, frozenset(counts), join, keep, head_model(names, bodies), types.where("n > 0").count() > len(top)), right
+
 
+def hyphen_decisions(texts: DataFrame, lines: DataFrame, models: Models, right: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(table_name, row_id, _cuts): where there are more words than are sent to the tasks, what the trees decide on each
+    hyphen at a line end by the counts of all words: 0 no word is cut, 1 one is, 2 one is and the hyphen belongs to it. None
+    where the words that are sent are all there are."""
+    if not models.more:
+        return None
 
-def _report(reader: Reader, name: str, lines: list[tuple[int, str]], own: list[bool], title: Title | None, starts: bool, out: list) -> None:
-    kinds, cuts, unknown = reader.read(lines, title, starts)
+    def asked(batches: Iterator[pd.DataFrame], one_text: bool) -> Iterator[pd.DataFrame]:
+        reader = models.reader()
+        if one_text:
+            groups = ((t, [(r, x) for x in text.split("\n")], title, False) for b in batches for t, r, text, title in zip(b["table_name"], b["row_id"], b["_text"], b["_title"]))
+        else:
+            groups = ((g[0][0], [(r[1], r[2]) for r in g], g[0][4], g[0][5] == 0) for g in grouped(batches))
+        for name, rows, title, starts in groups:
+            out: list = []
+            reader.read(rows, title_of(title), starts, asked=out)
+            if out:
+                yield pd.DataFrame([(name, rows[i][0], left, second) for i, left, second in out], columns=["table_name", "row_id", "left", "right"])
+
+    shape = "table_name string, row_id long, left string, right string"
+    sorted_lines = lines.repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
+    many = texts.where(F.instr("_text", "\n") > 0)
+    pairs = scratch.put(many.mapInPandas(lambda b: asked(b, True), shape).unionByName(sorted_lines.mapInPandas(lambda b: asked(b, False), shape)).distinct(), "line_ends")
+    low, second = F.lower("left"), F.lower("right")
+    forms = F.array(F.concat(low, second), F.concat(low, F.lit("-"), second), low, second)
+    words = scratch.spark.read.parquet(f"{scratch.root}/types").where("n > 0").join(right.select("word"), "word", "left_anti").select("word", "n")
+    prefixes = words.where("instr(word, '-') > 0").groupBy(F.regexp_replace("word", "-[^-]*$", "").alias("word")).agg(F.sum("n").alias("n"))
+    one = pairs.select("left", "right").distinct()
+    sought = one.select("left", "right", F.explode(forms).alias("word")).distinct().join(words, "word").select("left", "right", "word", "n")
+    before = one.select("left", "right", low.alias("word")).join(prefixes, "word").select("left", "right", F.col("n").alias("prefix"))
+    counted = one.join(sought.groupBy("left", "right").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")), ["left", "right"], "left").join(before, ["left", "right"], "left")
+
+    @F.pandas_udf("int")
+    def decided(left: pd.Series, right: pd.Series, counts: pd.Series, prefix: pd.Series) -> pd.Series:
+        out = []
+        for a, b, n, p in zip(left, right, counts, prefix):
+            f = join_features(a, b, dict(n) if n is not None else {}, {a.lower(): int(p)} if p == p and p is not None else {})
+            whole = b[:1].islower() and models.join.one(f) >= 0.5
+            out.append(int(whole) + int(whole and models.keep.one(f) >= 0.5))
+        return pd.Series(out, dtype="int32")
+
+    codes = counted.select("left", "right", decided("left", "right", "counts", "prefix").alias("code"))
+    told = pairs.join(codes, ["left", "right"]).groupBy("table_name", "row_id")
+    return scratch.put(told.agg(F.map_from_entries(F.collect_set(F.struct(F.concat("left", F.lit("\t"), "right"), "code"))).alias("_cuts")), "hyphens")
+
+
+def _with_cuts(rows: DataFrame, decisions: DataFrame | None) -> DataFrame:
+    if decisions is None:
+        return rows.withColumn("_cuts", F.lit(None).cast("map<string, int>"))
+    return rows.join(decisions, ["table_name", "row_id"], "left")
+
+
+def _report(reader: Reader, name: str, lines: list[tuple[int, str]], own: list[bool], title: Title | None, starts: bool, held: list[dict | None] | None, out: list) -> None:
+    kinds, cuts, unknown = reader.read(lines, title, starts, held)
     for i, kind in enumerate(kinds):
         if kind in ("page_number", "header") and own[i]:
             out.append((name, lines[i][0], kind, " ".join(lines[i][1].split())))
@@ -496,36 +600,37 @@ _FOUND = "table_name string, row_id long, defect string, token string"
 def defects(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratch: Scratch) -> DataFrame:
     """(table_name, row_id, defect, token), distinct: hyphen, misread, header and page_number."""
     models, right = learn(texts, lines, titles, scratch)
+    decisions = hyphen_decisions(texts, lines, models, right, scratch)
 
     def in_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(models.counts, models.good, models.join, models.keep, models.head)
+        reader = models.reader()
         for batch in batches:
             out: list = []
-            for name, row, text, title in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"]):
+            for name, row, text, title, cuts in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"], batch["_cuts"]):
                 if "\n" not in text:
                     out += [(name, row, "word", w) for w in reader.unknown(set(text.lower().split()))]
                     continue
                 parts = [(row, x) for x in text.split("\n")]
-                _report(reader, name, parts, [True] * len(parts), title_of(title), False, out)
+                _report(reader, name, parts, [True] * len(parts), title_of(title), False, [dict(cuts)] * len(parts) if cuts is not None else None, out)
             yield pd.DataFrame(out, columns=["table_name", "row_id", "defect", "token"])
 
     def in_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(models.counts, models.good, models.join, models.keep, models.head)
+        reader = models.reader()
         for group in grouped(batches):
             out: list = []
-            _report(reader, group[0][0], [(r[1], r[2]) for r in group], [not r[3] for r in group], title_of(group[0][4]), group[0][5] == 0, out)
+            _report(reader, group[0][0], [(r[1], r[2]) for r in group], [not r[3] for r in group], title_of(group[0][4]), group[0][5] == 0, [r[7] for r in group], out)
             yield pd.DataFrame(out, columns=["table_name", "row_id", "defect", "token"])
 
-    sorted_lines = lines.repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
-    found = texts.mapInPandas(in_texts, _FOUND).unionByName(sorted_lines.mapInPandas(in_lines, _FOUND))
+    sorted_lines = _with_cuts(lines, decisions).repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
+    found = _with_cuts(texts, decisions).mapInPandas(in_texts, _FOUND).unionByName(sorted_lines.mapInPandas(in_lines, _FOUND))
     found = scratch.put(found, "found")
     misread = found.where("defect = 'word'").join(right, F.col("token") == F.col("word")).select("table_name", "row_id", F.lit("misread").alias("defect"), F.col("right").alias("token"))
     return found.where("defect <> 'word'").unionByName(misread).distinct()
 
 
-def _rebuilt(reader: Reader, lines: list[tuple[int, str]], title: Title | None, starts: bool, fixes: list[dict]) -> list[str | None]:
+def _rebuilt(reader: Reader, lines: list[tuple[int, str]], title: Title | None, starts: bool, fixes: list[dict], held: list[dict | None] | None) -> list[str | None]:
     """Each line repaired: None for furniture, words cut at its end made whole, halves at its start taken away, misread words put right."""
-    kinds, cuts, _ = reader.read(lines, title, starts)
+    kinds, cuts, _ = reader.read(lines, title, starts, held)
     second = {j for j, _, _ in cuts.values()}
     out: list[str | None] = []
     for i, (_, text) in enumerate(lines):
@@ -560,7 +665,7 @@ def like(word: str, fixes: dict[str, str]) -> str:
 def repaired(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scratch: Scratch) -> DataFrame:
     """(table_name, row_id, text): each row's text in continuous paragraphs; null where a line is furniture."""
     models, right = learn(texts, lines, titles, scratch)
-    reader = lambda: Reader(models.counts, models.good, models.join, models.keep, models.head)
+    reader, decisions = models.reader, hyphen_decisions(texts, lines, models, right, scratch)
     words = texts.select("table_name", "row_id", "_text").unionByName(lines.where("not _ahead").select("table_name", "row_id", "_text"))
 
     def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -575,9 +680,9 @@ def repaired(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scrat
         own = reader()
         for batch in batches:
             out = []
-            for name, row, text, title, fix in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"], batch["_fix"]):
+            for name, row, text, title, fix, cuts in zip(batch["table_name"], batch["row_id"], batch["_text"], batch["_title"], batch["_fix"], batch["_cuts"]):
                 parts = [(row, x) for x in text.split("\n")]
-                done = _rebuilt(own, parts, title_of(title), False, [dict(fix or {})] * len(parts))
+                done = _rebuilt(own, parts, title_of(title), False, [dict(fix or {})] * len(parts), [dict(cuts)] * len(parts) if cuts is not None else None)
                 body = [x for x in done if x is not None]
                 if len(parts) > 1 and max(len(x) for _, x in parts) <= 120 and not any(re.match(r"\(?[a-z0-9]{1,3}[.)]\s", x) for x in body[1:]):
                     text = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n{2,}", "\n".join(body)))
@@ -589,24 +694,25 @@ def repaired(texts: DataFrame, lines: DataFrame, titles: DataFrame | None, scrat
     def in_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = reader()
         for group in grouped(batches):
-            done = _rebuilt(own, [(r[1], r[2]) for r in group], title_of(group[0][4]), group[0][5] == 0, [dict(r[6] or {}) for r in group])
+            done = _rebuilt(own, [(r[1], r[2]) for r in group], title_of(group[0][4]), group[0][5] == 0, [dict(r[6] or {}) for r in group], [r[7] for r in group])
             yield pd.DataFrame([(r[0], r[1], x) for r, x in zip(group, done) if not r[3]], columns=["table_name", "row_id", "text"])
 
     on, out = ["table_name", "row_id"], "table_name string, row_id long, text string"
-    placed = lines.join(fixes, on, "left").repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
-    return texts.join(fixes, on, "left").mapInPandas(in_texts, out).unionByName(placed.mapInPandas(in_lines, out))
+    placed = _with_cuts(lines, decisions).join(fixes, on, "left").repartition("_doc", "_block").sortWithinPartitions("_doc", "_block", "_pos", "row_id")
+    return _with_cuts(texts, decisions).join(fixes, on, "left").mapInPandas(in_texts, out).unionByName(placed.mapInPandas(in_lines, out))
 
 
 def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """The sorted lines of each block of a document: (table, row, text, ahead, title, position, fixes)."""
+    """The sorted lines of each block of a document: (table, row, text, ahead, title, position, fixes, decisions on hyphens)."""
     key, group = None, []
     for batch in batches:
-        fixes = batch["_fix"] if "_fix" in batch else [None] * len(batch)
-        for name, row, text, ahead, title, pos, fix, doc, block in zip(*(batch[c] for c in ("table_name", "row_id", "_text", "_ahead", "_title", "_pos")), fixes, batch["_doc"], batch["_block"]):
+        none = [None] * len(batch)
+        fixes, cuts = (batch[c] if c in batch else none for c in ("_fix", "_cuts"))
+        for name, row, text, ahead, title, pos, fix, cut, doc, block in zip(*(batch[c] for c in ("table_name", "row_id", "_text", "_ahead", "_title", "_pos")), fixes, cuts, batch["_doc"], batch["_block"]):
             if (name, doc, block) != key:
                 if group:
                     yield group
                 key, group = (name, doc, block), []
-            group.append((name, row, text, ahead, title, pos, fix))
+            group.append((name, row, text, ahead, title, pos, fix, dict(cut) if cut is not None else None))
     if group:
         yield group

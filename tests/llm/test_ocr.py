@@ -106,3 +106,18 @@ def test_query(spark):
     from lexloom.llm.queries import p1_found
 
     assert {r["defect"] for r in p1_found(spark, "/root/testdata/sf0.001").collect()} <= {"hyphen", "misread", "header", "page_number"}
+
+
+def test_words_beyond_those_sent_are_looked_up(spark, monkeypatch):
+    """Hyphens and misread words come out the same when only the most frequent words are sent to the tasks."""
+    monkeypatch.setattr(ocr, "SENT_WORDS", 40)
+    got = [tuple(r) for r in ocr.defects(*tables(spark, TEXTS, LINES), Scratch(spark, "test")).collect()]
+    assert set(got) == FOUND and len(got) == len(FOUND)
+
+
+def test_trees_rank_candidates_by_their_own_and_by_each_other(spark):
+    """Of two words that look alike the far more frequent one is meant, unless the letters speak for the other."""
+    words = [("properly", 4_000), ("property", 300), ("premises", 900), ("deposit", 700), ("tenancy", 800), ("landlord", 5_000), ("withheld", 400), ("insurance", 600)]
+    types = spark.createDataFrame([*words, ("proper1y", 10), ("propcrfy", 3), ("premiscs", 4), ("zebra", 5), ("wi", 3), ("", 1)], "word string, n long")
+    got = {r["word"]: r["right"] for r in ocr.corrections(types, ocr.spell_model(words)).collect()}
+    assert got["proper1y"] == "properly" and got["premiscs"] == "premises" and "zebra" not in got and "landlord" not in got
