@@ -14,14 +14,17 @@ Defined results:
 - Null elements give no row but keep their position. Empty arrays and empty tables give no rows.
 - Of repeated names in an object the last counts. Names that differ in case only, or clash with the key or an own
   column, get a suffix ``_2``, ``_3``, and so on. All scalars are text.
+- An object with more than ``MOST_NAMES`` names over all records has ids for names: it is taken as a list of entries with a
+  ``_name`` and a ``value``, in the order of the record. More than ``MOST_PLACES`` places in the schema that is left are refused.
 - Repeated records each give their rows; columns other than the key and the JSON text are ignored.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +34,8 @@ from pyspark.sql import types as T
 from lexloom.runtime import Scratch
 
 VALUE = "_value"
+#: Most names of an object, and most places of a schema.
+MOST_NAMES, MOST_PLACES = 1_000, 100_000
 
 
 def _reject(token: str) -> None:
@@ -67,9 +72,11 @@ class Node:
     object: bool = False
     fields: dict[str, Node] = field(default_factory=dict)
     item: Node | None = None
+    #: Is it an object of entries with ids for names.
+    entries: bool = False
 
     def is_list(self) -> bool:
-        return self.listed or (self.text_list and not self.scalar)
+        return self.listed or self.entries or (self.text_list and not self.scalar)
 
     def is_object(self) -> bool:
         return self.object or (self.text_object and not self.scalar)
@@ -115,8 +122,24 @@ def _kinds(value: object, path: tuple, out: set) -> None:
         out.add((path, "scalar"))
 
 
-def merged_schema(df: DataFrame, column: str) -> Node:
-    """The schema all records fit. Only the distinct places and kinds reach the driver; their number depends on the variety of names, not on the rows."""
+#: Step of a path to the entries of an object that has ids for names.
+ENTRY = 0
+
+
+def _as_entries(path: list, wide: set[str]) -> list:
+    """The path with ``value`` of an entry in place of a name of one of the wide objects."""
+    for depth, step in enumerate(path):
+        if isinstance(step, str) and json.dumps(path[:depth]) in wide:
+            return [*path[:depth], ENTRY, "value", *path[depth + 1 :]]
+    return path
+
+
+def merged_schema(df: DataFrame, column: str, scratch: Scratch, most_names: int = MOST_NAMES) -> Node:
+    """The schema all records fit.
+
+    Places are counted where they are. Objects with too many names are turned into lists of entries, the outermost first, until
+    none is left; only then the distinct places and kinds reach the driver, at most MOST_PLACES.
+    """
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
@@ -127,15 +150,39 @@ def merged_schema(df: DataFrame, column: str) -> Node:
                 if good:
                     _kinds(value, (), found)
             new = found - seen
-            seen |= new
+            # what is known saves rows only, so it may be forgotten
+            seen = seen | new if len(seen) < MOST_PLACES else new
             yield pd.DataFrame([(json.dumps(p), k) for p, k in new], columns=["path", "kind"])
 
-    rows = df.select(F.col(column).cast("string").alias("_json")).where("_json is not null").mapInPandas(places, "path string, kind string").distinct().collect()
+    def entries(wide: set[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"path": [json.dumps(_as_entries(json.loads(p), wide)) for p in batch["path"]], "kind": batch["kind"]})
+
+        return rewrite
+
+    shape = "path string, kind string"
+    held = scratch.put(df.select(F.col(column).cast("string").alias("_json")).where("_json is not null").mapInPandas(places, shape).distinct(), "places0")
+    for turn in count(1):
+        # a path with its last step cut off; names are quoted, other steps aren't
+        named = held.where(F.col("path").rlike(r'"\]$')).distinct()
+        parent = F.when(F.col("path").rlike(r'^\["(?:[^"\\]|\\.)*"\]$'), "[]").otherwise(F.regexp_replace("path", r', "(?:[^"\\]|\\.)*"\]$', "]"))
+        wide = named.select(parent.alias("parent"), "path").groupBy("parent").agg(F.countDistinct("path").alias("n")).where(F.col("n") > most_names)
+        outer = [r["parent"] for r in wide.orderBy(F.length("parent"), "parent").limit(most_names).collect()]
+        outer = [x for x in outer if not any(x != y and x.startswith(f"{y[:-1]}, ") or (y == "[]" and x != y) for y in outer)]
+        if not outer:
+            break
+        held = scratch.put(held.mapInPandas(entries(set(outer)), shape).distinct(), f"places{turn}")
+        scratch.drop(f"places{turn - 1}")
+    rows = held.limit(MOST_PLACES + 1).collect()
+    if len(rows) > MOST_PLACES:
+        raise ValueError(f"the records have more than {MOST_PLACES} places")
     root = Node()
     for path, kind in rows:
         node = root
         for step in json.loads(path):
-            if step is None:
+            if step is None or step == ENTRY:
+                node.entries |= step == ENTRY
                 node.item = node.item or Node()
                 node = node.item
             else:
@@ -146,7 +193,7 @@ def merged_schema(df: DataFrame, column: str) -> Node:
 
 
 def _merge(into: Node, other: Node) -> None:
-    for flag in ("scalar", "text_object", "text_list", "listed", "object"):
+    for flag in ("scalar", "text_object", "text_list", "listed", "object", "entries"):
         setattr(into, flag, getattr(into, flag) or getattr(other, flag))
     for name, part in other.fields.items():
         _merge(into.fields.setdefault(name, Node()), part)
@@ -159,6 +206,9 @@ def _settle(node: Node) -> None:
     """Where a place has arrays, what stands there without an array is an element."""
     if node.is_list():
         node.item = node.item or Node()
+        if node.entries:
+            node.object = node.text_object = False
+            _merge(node.item, Node(object=True, fields={"_name": Node(scalar=True), "value": Node()}))
         _merge(node.item, Node(scalar=node.scalar, object=node.object, text_object=node.text_object, fields=node.fields))
         node.fields, node.scalar, node.object, node.text_object = {}, False, False, False
         node.listed = True
@@ -182,6 +232,8 @@ def fit(value: object, node: Node) -> object:
     if isinstance(value, str) and (node.is_list() or node.is_object()) and (inner := _embedded(value)) is not None:
         value = inner
     if node.is_list():
+        if node.entries and isinstance(value, dict):
+            value = [{"_name": name, "value": part} for name, part in value.items()]
         return [fit(x, node.item) for x in (value if isinstance(value, list) else [value])]
     if isinstance(value, dict) and node.is_object():
         return {column: fit(value[name], part) for name, (column, part) in node.columns().items() if name in value}
@@ -197,13 +249,13 @@ class Flat:
     children: dict[str, DataFrame]
 
 
-def flatten(df: DataFrame, key: str, column: str, scratch: Scratch) -> Flat:
+def flatten(df: DataFrame, key: str, column: str, scratch: Scratch, most_names: int = MOST_NAMES) -> Flat:
     """Flat tables of the JSON texts in ``column``.
 
     Root: key, ``_valid`` and the scalar fields. Children: key, ``_parent`` (path of the enclosing object), ``_node``
     (own path, unique within the record: with the key the surrogate key), ``_ordinal`` and the scalar fields.
     """
-    schema = merged_schema(df, column)
+    schema = merged_schema(df, column, scratch, most_names)
     whole = Node(object=True, fields={"$": schema}) if schema.is_list() or not schema.is_object() else schema
     wrapped = whole is not schema
 

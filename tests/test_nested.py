@@ -52,3 +52,24 @@ def test_repeated_rows_extra_columns_and_long_text(spark):
 
 def test_lone_surrogates_do_not_break(spark):
     assert flat(spark, ['{"a": ["\\ud800"]}']).children["a"].count() == 1
+
+
+def test_ids_for_names_become_entries(spark):
+    """Objects with ids for names, one within the other, and lists and scalars as their values."""
+    records = [{"by": {f"id{i}{k}": {"n": k, "to": {f"u{i}{k}": [1, {"z": k}]}} for k in range(3)}, "c": {"x": 1}} for i in range(4)] + [{"by": {'q"\\ é': None}}, {"by": None}, {"c": {"y": "s"}}]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    out = flatten(spark.createDataFrame(rows, "k long, j string"), "k", "j", Scratch(spark, "test"), most_names=5)
+    assert set(out.children) == {"by", "by[].value.to", "by[].value.to[].value"}
+    got = sorted((r["k"], r["_node"], r["_name"], r["value_n"]) for r in out.children["by"].collect())
+    assert got == sorted([(i, f"by[{k}]", f"id{i}{k}", str(k)) for i in range(4) for k in range(3)] + [(4, "by[0]", 'q"\\ é', None)], key=str)
+    inner = sorted((r["k"], r["_parent"], r["_name"]) for r in out.children["by[].value.to"].collect())
+    assert inner == [(i, f"by[{k}].value", f"u{i}{k}") for i in range(4) for k in range(3)]
+    last = sorted((r["k"], r["_parent"], r["_ordinal"], r["z"], r["_value"]) for r in out.children["by[].value.to[].value"].collect())
+    assert [x[2:] for x in last[:2]] == [(0, None, "1"), (1, "0", None)] and len(last) == 24
+    assert sorted((r["k"], r["c_x"], r["c_y"]) for r in out.root.collect()) == [*[(i, "1", None) for i in range(4)], (4, None, None), (5, None, None), (6, None, "s")]
+
+
+def test_a_whole_record_of_ids(spark):
+    out = flatten(spark.createDataFrame([(i, json.dumps({f"a{i}{k}": k for k in range(4)})) for i in range(3)], "k long, j string"), "k", "j", Scratch(spark, "test"), most_names=5)
+    (child,) = out.children.values()
+    assert sorted((r["k"], r["_name"], r["value"]) for r in child.collect()) == [(i, f"a{i}{k}", str(k)) for i in range(3) for k in range(4)]
