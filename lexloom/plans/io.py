@@ -126,7 +126,40 @@ QUERIES = {f.__name__: f for f in (document_pages, pages_read_back, concept_page
 _ITEM_SLUG = _cut(_SLUG.format(_WS.format("coalesce(title, '')")), 80)
 _CODE = "CASE item_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CODES.items()) + " ELSE 'XX' END"
 
+def _yaml(x: str) -> str:
+    """A YAML scalar of a column."""
+    unsafe = f"lower({x}) IN ('null', 'true', 'false', 'yes', 'no', '~', '') OR {x} <> trim({x}) OR regexp_matches({x}, '^[-?:,\\[\\]{{}}#&*!|>''\"%@`\\s]|\\s$') OR contains({x}, ': ') OR {x} LIKE '%:' OR contains({x}, chr(10)) OR contains({x}, '#')"
+    return f"CASE WHEN {x} IS NULL THEN 'null' WHEN {unsafe} THEN '\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"' ELSE {x} END"
+
+
+def _head(**pairs: str) -> str:
+    return "'---'" + "".join(f" || chr(10) || '{k}: ' || ({v})" for k, v in pairs.items()) + " || chr(10) || '---'"
+
+
+def _finalized(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '(?m)[\\t\\f\\v\\r ]+$', '', 'g'), '\\n+$', '') || chr(10)"
+
+
+_GAP = "chr(10) || chr(10)"
+_LINKED = "(SELECT DISTINCT clause_id, o.slug, o.name FROM clause_concepts e JOIN concepts o ON o.id = e.concept_id)"
+_ITEM_PAGE = _finalized(_head(title=_yaml("title"), slug=_yaml("slug"), sitting_date=_yaml("day"), item_type=_yaml("item_type"), speaker=_yaml("speaker"), url=_yaml("url"), concepts="'[]'") + f" || {_GAP} || '# ' || coalesce(title, slug, '') || {_GAP} || coalesce(nullif(trim(body_text), ''), summary, '')")
+_CONCEPT_PAGE = _finalized(_head(title=_yaml("name"), slug=_yaml("slug"), clause_count="coalesce(n, 0)::VARCHAR") + f" || {_GAP} || '# ' || coalesce(name, slug) || {_GAP} || trim(coalesce(description, '')) || {_GAP} || coalesce(listing, '')")
+_BOTH = "concat_ws(' ', nullif(trim(number), ''), nullif(trim(heading), ''))"
+_CLAUSE = f"'## ' || CASE WHEN {_BOTH} <> '' THEN {_BOTH} ELSE 'Clause' END || chr(10) || '<!-- anchor: ' || coalesce(anchor, '') || ' -->' || {_GAP} || trim(coalesce(text, '')) || coalesce({_GAP} || '**Concepts:** ' || links, '') || chr(10)"
+_DOCUMENT_PAGE = _finalized(
+    _head(title=_yaml("title"), slug=_yaml("slug"), sector=_yaml("sector"), source=_yaml("source_path"), file_type=_yaml("file_type"), version="version::VARCHAR", clause_count="coalesce(n, 0)::VARCHAR", concepts="'[' || coalesce(slugs, '') || ']'")
+    + f" || {_GAP} || '# ' || coalesce(title, slug) || {_GAP} || CASE WHEN parse_error IS NOT NULL THEN 'This document could not be parsed automatically (' || parse_error || ').' ELSE coalesce(body, '') END"
+)
+
 SQL = {
+    "item_pages": f"SELECT id, {_ITEM_PAGE} AS markdown FROM (SELECT *, {_DAY} AS day FROM parliament_items)",
+    "concept_pages": f"""SELECT slug, {_CONCEPT_PAGE} AS markdown FROM concepts LEFT JOIN (
+      SELECT slug AS s, count(*) AS n, string_agg('- [[' || doc || '#' || anchor || ']] ' || head, chr(10) ORDER BY doc, anchor, head) AS listing FROM (
+        SELECT DISTINCT l.slug, string_split(ref, '#')[1] AS doc, coalesce(anchor, '') AS anchor, coalesce(heading, '') AS head FROM {_LINKED} l JOIN clauses c ON c.id = l.clause_id WHERE ref IS NOT NULL) GROUP BY 1) ON s = slug""",
+    "document_pages": f"""WITH k AS (SELECT clause_id, string_agg('[[' || slug || '|' || coalesce(name, slug) || ']]', ', ' ORDER BY slug) AS links FROM {_LINKED} GROUP BY 1),
+      b AS (SELECT document_id, count(*) AS n, string_agg({_CLAUSE}, chr(10) ORDER BY order_index NULLS FIRST, id) AS body FROM clauses c LEFT JOIN k ON k.clause_id = c.id WHERE document_id IS NOT NULL GROUP BY 1),
+      t AS (SELECT document_id AS t_id, array_to_string(list_sort(list(DISTINCT l.slug)), ', ') AS slugs FROM {_LINKED} l JOIN clauses c ON c.id = l.clause_id WHERE document_id IS NOT NULL GROUP BY 1)
+      SELECT slug, {_DOCUMENT_PAGE} AS markdown FROM contracts d LEFT JOIN b ON b.document_id = d.id LEFT JOIN t ON t_id = d.id""",
     "sitting_items": f"""SELECT position, 'report:' || sitting_date || ':' || lower(code) || ':' || slug AS sprs_id, slug, sitting_date, coalesce(CASE WHEN code <> 'XX' THEN item_type END, 'xx') AS item_type, CAST(chars AS INTEGER) AS chars FROM (
       SELECT position, sitting_date, code, item_type, chars, CASE WHEN row_number() OVER w = 1 THEN base ELSE base || '-' || row_number() OVER w END AS slug FROM (
         SELECT id AS position, {_DAY} AS sitting_date, {_CODE} AS code, item_type, {_ITEM_SLUG} AS base, length({_WS.format('body_text')}) AS chars FROM parliament_items WHERE {_WS.format('body_text')} <> '')

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import segment
 from lexloom.runtime import read
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -43,6 +44,26 @@ def topic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, heading and text of each clause as the cells of a table row with merged cells, as blocks."""
+    cells = F.array("number", "heading", "heading", F.substring("text", 1, 80))
+    blocks = segment.table_row_blocks(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))))
+    return read(spark, sf_dir, "clauses").select("id", F.posexplode(blocks).alias("place", "b")).select("id", "place", "b.kind", "b.text")
+
+
+def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth of the headings that blocks would have as styles."""
+    b = read(spark, sf_dir, "blocks")
+    style = F.when(F.col("kind") == "heading", F.concat(F.lit("Heading "), F.col("level").cast("string"))).when(F.col("level").isNull(), "Title").otherwise("Body Text")
+    return b.select("id", T.style_level(style).alias("depth"))
+
+
+def noisy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads found again within a noisy text, as far as they are JSON objects."""
+    p = read(spark, sf_dir, "topic_payloads").where("payload is not null")
+    return p.select("payload_id", T.first_json(F.concat(F.lit("Here it is:\n```json\n"), "payload", F.lit("\n```\nDone."))).isNotNull().alias("found"))
+
+
 def block_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "blocks").where("text is not null").withColumn("t", F.trim("text"))
     n = T.clause_number(F.col("t"))
@@ -64,7 +85,7 @@ def concept_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "concepts").select("slug", T.concept_pattern(F.col("name")).alias("pattern"))
 
 
-QUERIES = {f.__name__: f for f in (clause_tokens, contract_slugs, item_scalars, topic_text, block_scalars, clause_labels, edited_clauses, concept_patterns)}
+QUERIES = {f.__name__: f for f in (clause_tokens, contract_slugs, item_scalars, topic_text, table_rows, styles, noisy_json, block_scalars, clause_labels, edited_clauses, concept_patterns)}
 
 _TOKENS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))"
 _SLUG = "trim(regexp_replace(lower(regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -85,7 +106,26 @@ _NUM = "'(?i)^(?:clause\\s+)?(\\d+(?:\\.\\d+)*)(\\([a-z0-9]+\\))?[.:)]?\\s*'"
 _STRIPPED = "regexp_replace({}, '^[ .:\\-–—]+|[ .:\\-–—]+$', '', 'g')"
 _GONE = {"one": "such consent", "two": "For the purposes"}
 
+_PARTS = "list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(coalesce({}, ''), '(?i)</?(p|h[1-6]|li|div|br|tr)([^A-Za-z0-9>][^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), chr(1)), lambda x: trim(regexp_replace(x, '[\\s\\x{{00A0}}]+', ' ', 'g'))), lambda x: x <> '')"
+_FLAT = "trim(regexp_replace(replace(regexp_replace(coalesce(content, ''), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))"
+_OFFICE = "array_to_string(list_slice(w, 1, coalesce(list_position(list_transform(w, lambda x: regexp_full_match(x, '[A-Z][A-Za-z''\\-]*|for|of|the|and|to|de')), false), len(w) + 1) - 1), ' ')"
+_BOLD = "trim(regexp_replace(regexp_replace(" + _WS.format("regexp_replace(regexp_extract(coalesce(content, ''), '(?is)<strong\\b[^>]*>(.*?)</strong>', 1), '<[^>]*>', '', 'g')") + ", ':+$', ''), '\\s*\\([^)]*\\)\\s*$', ''))"
+
 SQL = {
+    "topic_text": f"""WITH v AS (SELECT payload_id, rtrim(report_id, '#') AS sprs_id, CAST(payload AS JSON) AS j FROM topic_payloads WHERE json_valid(payload)),
+      h AS (SELECT payload_id, sprs_id, j, CASE WHEN json_type(j -> 'resultHTML') = 'VARCHAR' AND json_valid(j ->> 'resultHTML') THEN CAST(j ->> 'resultHTML' AS JSON) ELSE j -> 'resultHTML' END AS h FROM v),
+      c AS (SELECT *, h ->> 'content' AS content, regexp_replace(sprs_id, '-\\d+$', '') AS prefix FROM h),
+      w AS (SELECT *, string_split(regexp_extract({_FLAT}, '(?i:asked|to ask)\\s+(?i:the)\\s+(.*)', 1), ' ') AS w FROM c)
+      SELECT payload_id, sprs_id, CASE prefix WHEN 'oral-answer' THEN 'oral answer' WHEN 'written-answer' THEN 'written answer' WHEN 'written-answer-na' THEN 'written answer (not answered)' ELSE replace(prefix, '-', ' ') END AS item_type,
+        {_WS.format("h ->> 'title'")} AS title, {_DATE.format("(j ->> 'sittingDate')", '%Y-%m-%d')} AS sitting_date, array_to_string({_PARTS.format('content')}, chr(10) || chr(10)) AS body_text,
+        CASE WHEN {_OFFICE} <> '' THEN {_OFFICE} ELSE {_BOLD} END AS speaker, {_WS.format("regexp_replace(regexp_extract(coalesce(content, ''), '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1), '<[^>]*>', '', 'g')")} AS first_heading,
+        trim(string_split(h ->> 'mpNames', ',')[1]) AS first_name FROM w""",
+    "table_rows": f"""WITH c AS (SELECT id, list_filter([{', '.join(_WS.format(f"coalesce({x}, '')") for x in ('number', 'heading', 'heading', 'substr(text, 1, 80)'))}], lambda x: x <> '') AS l FROM clauses),
+      k AS (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS k FROM c)
+      SELECT id, 0 AS place, 'heading' AS kind, k[1] AS text FROM k WHERE len(k) >= 2 AND length(k[1]) <= 60 UNION ALL SELECT id, 1, 'paragraph', array_to_string(k[2:], ' ') FROM k WHERE len(k) >= 2 AND length(k[1]) <= 60
+      UNION ALL SELECT id, 0, 'paragraph', array_to_string(k, ' | ') FROM k WHERE len(k) >= 1 AND NOT (len(k) >= 2 AND length(k[1]) <= 60)""",
+    "styles": "SELECT id, CASE WHEN kind = 'heading' THEN level WHEN level IS NULL THEN 1 END AS depth FROM blocks",
+    "noisy_json": "SELECT payload_id, regexp_matches(payload, '(?s)^\\s*\\{.*\\}\\s*$') AND json_valid(payload) AS found FROM topic_payloads WHERE payload IS NOT NULL",
     "clause_tokens": f"SELECT id, CAST(len({_TOKENS.format('text')}) AS INTEGER) AS n_tokens, coalesce(list_aggregate({_TOKENS.format('text')}, 'string_agg', ' '), '') AS tokens FROM clauses WHERE text IS NOT NULL",
     "contract_slugs": f"""SELECT id, {_SLUG.format('title')} AS title_slug, {_WS.format("regexp_replace(regexp_replace(regexp_extract(source_path, '[^/]*$'), '\\.[^.]*$', ''), '^\\d+[.\\s]+', '')")} AS file_title,
       regexp_replace(({_SLUG.format('title')})[:20], '-+$', '') AS short_slug,
