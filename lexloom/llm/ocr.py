@@ -30,6 +30,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,7 @@ def grams(word: str) -> list[str]:
 _COST = {(t, r): 0.3 if len(t) + len(r) > 2 else 0.4 for t, r in _READ} | {x: 0.8 for x in (("t", "1"), ("o", "c"), ("a", "o"), ("c", "o"), ("r", "n"), ("v", "y"), ("y", "v"))}
 
 
+@lru_cache(maxsize=200_000)
 def reading_cost(true: str, read: str) -> tuple[float, int, int]:
     """(cost, look-alike shapes, other edits) of the cheapest way from the true word to what was read."""
     n, m = len(true), len(read)

@@ -66,6 +66,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 0").select("table_name", "row_id", "boundary")
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per oversized text: a digest of its pieces joined again without their overlaps, and whether all pieces are within
+    the limit and each one overlaps the one before by no more than is asked for."""
+    limit = F.when(F.col("table_name") == "clauses", LIMITS["clauses"][1]).otherwise(LIMITS["parliament_items"][1])
+    parts = p4_pieces(spark, sf_dir).withColumn("body", F.substr("text", F.col("body_start") - F.col("start") + 1, F.length("text")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "body"))), lambda x: x.getField("body")), "")
+    fits = F.every((F.length("text") <= limit) & (F.col("body_start") - F.col("start") <= OVERLAP))
+    return parts.groupBy("table_name", "row_id").agg(F.md5(joined).alias("digest"), fits.alias("fits"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of clauses that exist."""
     edges = read(spark, sf_dir, "clause_concepts").select("clause_id", "concept_id").where("clause_id is not null and concept_id is not null")
@@ -177,7 +187,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_classes, p4_found, p4_pieces, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
+    for f in (p1_found, p1_repaired, p2_found, p2_groups, p2_classes, p4_found, p4_pieces, p4_rejoined, p5_found, p5_association, p5_incremental, p6_found, p6_assignment, p6_fill, p7_found, p7_report, p7_copies, p8_found, p8_scores, p8_rates)
 }
 
 _PAIRS = """
@@ -204,7 +214,18 @@ SELECT '{table}' AS table_name, id AS row_id, CASE
   WHEN list_max(list_transform(regexp_split_to_array({text}, '\s+'), lambda x: length(x))) <= {limit} THEN 'word'
   ELSE 'none' END AS boundary FROM {table} WHERE length({text}) > {limit} AND trim({text}) <> ''"""
 
+_WHOLE = "SELECT '{table}' AS table_name, id AS row_id, md5({text}) AS digest, true AS fits FROM {table} WHERE length({text}) > {limit} AND trim({text}) <> ''"
+#: All pairs by brute force over the inverted lists of all sequences of three words.
+_COPIES = r"""
+WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM clauses WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 35)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT x AS clause_id_a, y AS clause_id_b FROM p JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE 2 * c >= nx.n + ny.n - c"""
+
 SQL: dict[str, str] = {
+    "p2_found": _COPIES,
+    "p4_rejoined": " UNION ALL ".join(_WHOLE.format(table=t, text=text, limit=limit) for t, (text, limit) in LIMITS.items()),
     "p4_found": " UNION ALL ".join(_BOUNDARY.format(table=t, text=text, limit=limit) for t, (text, limit) in LIMITS.items()),
     "p5_found": _PAIRS + "SELECT concept_id_a, concept_id_b FROM s WHERE n_ab >= 5 AND 2000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b",
     "p5_association": _ASSOCIATION,
