@@ -58,6 +58,17 @@ def signed_pairs(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("sign").cast("long").alias("n")).where("n <> 0")
 
 
+def _files(spark: SparkSession, folder: str) -> tuple:
+    """(file system, path) of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    files, path = _files(spark, folder)
+    return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+
+
 @dataclass
 class Buckets:
     """A table in hash buckets, of which each update writes some again."""
@@ -86,7 +97,9 @@ class Buckets:
         return out
 
     def hit(self, rows: DataFrame) -> set[int]:
-        """The buckets that rows fall in; at most as many as there are."""
+        """The buckets that rows fall in; all of an empty table, as there is nothing to spare."""
+        if all(update is None for update in self.written.values()):
+            return set(range(self.number))
         return {r[0] for r in rows.select(self.bucket()).distinct().collect()}
 
     def write(self, rows: DataFrame, hit: set[int], update: int) -> None:
@@ -95,7 +108,7 @@ class Buckets:
             return
         path = f"{self.folder}/{self.name}/{update}"
         rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        there = {r[0] for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(path).select("bucket").distinct().collect()}
+        there = {int(x.split("=")[1]) for x in _listed(self.spark, path) if x.startswith("bucket=")}
         self.written |= {b: update if b in there else None for b in hit}
 
 
@@ -114,10 +127,8 @@ class PairTable:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> PairTable:
         """The state that the last finished update left in a folder."""
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [int(x.getPath().getName()) for x in files.listStatus(path) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-        held = json.loads(spark.read.text(f"{folder}/manifest/{max(done)}").first()[0])
+        done = max(int(x.removesuffix(".json")) for x in _listed(spark, f"{folder}/manifest") if x.endswith(".json"))
+        held = json.loads(spark.read.text(f"{folder}/manifest/{done}.json").first()[0])
         out = cls(spark, folder, *held["types"], held["buckets"])
         out.generation, out.n = held["generation"], held["n"]
         for table in (out.baskets, out.items, out.pairs):
@@ -127,7 +138,13 @@ class PairTable:
     def _save(self) -> None:
         tables = {t.name: t.written for t in (self.baskets, self.items, self.pairs)}
         held = json.dumps({"generation": self.generation, "n": self.n, "types": self.types, "buckets": self.number, **tables})
-        self.spark.createDataFrame([(held,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/{self.generation}")
+        files, path = _files(self.spark, f"{self.folder}/manifest/{self.generation}.part")
+        out = files.create(path, True)
+        out.write(bytearray(held.encode()))
+        out.close()
+        _, final = _files(self.spark, f"{self.folder}/manifest/{self.generation}.json")
+        files.delete(final, False)
+        files.rename(path, final)
 
     def _step(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/steps/{self.generation}-{name}"
@@ -149,15 +166,18 @@ class PairTable:
         touched = new.select("basket").distinct()
         if gone is not None:
             touched = touched.unionByName(gone.select(F.col(gone.columns[0]).cast(self.types[0]).alias("basket")).where("basket is not null")).distinct()
-        hit = self.baskets.hit(touched) if any(u is not None for u in self.baskets.written.values()) or gone is not None else self.baskets.hit(new)
-        before = self.baskets.read(hit)
-        old = self._step(before.join(touched, "basket", "left_semi"), "old")
-        signed = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
+        first = all(u is None for u in self.baskets.written.values())
+        hit, before = self.baskets.hit(touched), self.spark.createDataFrame([], self.baskets.schema)
+        old = before
+        if not first:
+            before = self.baskets.read(hit)
+            old = self._step(before.join(touched, "basket", "left_semi"), "old")
+        signed = new.withColumn("sign", F.lit(1)) if first else new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
         # what a basket keeps cancels out for its items, and for the pairs of what it keeps
         items = self._merge(self.items, signed.groupBy("item").agg(F.sum("sign").cast("long").alias("n")).where("n <> 0"))
         pairs = self._merge(self.pairs, signed_pairs(signed))
-        self.baskets.write(before.join(touched, "basket", "left_anti").unionByName(new), hit, self.generation)
-        self.n += new.select("basket").distinct().count() - old.select("basket").distinct().count()
+        self.baskets.write(new if first else before.join(touched, "basket", "left_anti").unionByName(new), hit, self.generation)
+        self.n += new.select("basket").distinct().count() - (0 if first else old.select("basket").distinct().count())
         self._changed = (items, pairs)
         self._save()
         return self
