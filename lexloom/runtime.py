@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +16,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a folder, for tasks that write files of their own."""
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
+def put_file(files: fs.FileSystem, path: str, content: bytes) -> None:
+    """Writes a file whole; a task that runs twice leaves the same file."""
+    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(f"{path}.part") as out:
+        out.write(content)
+    files.move(f"{path}.part", path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where set, else (local mode only) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

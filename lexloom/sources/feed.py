@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from lexloom.runtime import filesystem, put_file
+
 #: Hits of a page: fixed value.
 PAGE = 20
 FIELDS = ("title", "subtitle", "reportType", "reportId", "sittingDate", "maxResult", "memberName", "mpNames")
@@ -30,13 +31,9 @@ class FixtureMissing(LookupError):
     """Nothing is recorded for a request, and the network is not to be used."""
 
 
-def _at(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def replay(folder: str, name: str) -> object | None:
     """What is recorded under a name; None if nothing is."""
-    files, root = _at(folder)
+    files, root = filesystem(folder)
     try:
         with files.open_input_file(f"{root}/{name}.json") as f:
             return json.loads(f.read().decode("utf-8"))
@@ -46,12 +43,8 @@ def replay(folder: str, name: str) -> object | None:
 
 def record(folder: str, name: str, answer: object) -> None:
     """Records an answer; a task that runs twice leaves the same file."""
-    files, root = _at(folder)
-    path = f"{root}/{name}.json"
-    files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(f"{path}.part") as f:
-        f.write(json.dumps(answer, ensure_ascii=False).encode("utf-8"))
-    files.move(f"{path}.part", path)
+    files, root = filesystem(folder)
+    put_file(files, f"{root}/{name}.json", json.dumps(answer, ensure_ascii=False).encode("utf-8"))
 
 
 def call(folder: str, name: str, ask: Callable[[], object] | None) -> object:

@@ -6,6 +6,8 @@ import html
 import io
 import json
 import re
+import subprocess
+import urllib.request
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -119,6 +121,39 @@ def provider(name: str) -> Callable[[str], str]:
     return PROVIDERS[name]
 
 
+class Offline(RuntimeError):
+    """A provider was asked while nothing may be."""
+
+
+def command_provider(command: list[str], timeout: float = 600, offline: bool = False) -> Callable[[str], str]:
+    """Asks a program: the prompt on its standard input, the answer on its standard output."""
+
+    def call(prompt: str) -> str:
+        if offline:
+            raise Offline(command[0])
+        done = subprocess.run(command, input=prompt, capture_output=True, text=True, timeout=timeout, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-300:]}")
+        return done.stdout
+
+    return call
+
+
+def http_provider(url: str, model: str, timeout: float = 600, offline: bool = False) -> Callable[[str], str]:
+    """Asks a server that takes {model, messages} as JSON and answers with choices, or with a response or content field."""
+
+    def call(prompt: str) -> str:
+        if offline:
+            raise Offline(url)
+        body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}], "stream": False}).encode()
+        with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:  # noqa: S310
+            held = json.loads(answer.read().decode("utf-8"))
+        choices = held.get("choices")
+        return choices[0]["message"]["content"] if choices else held.get("response") or held["content"]
+
+    return call
+
+
 def ask(requests: DataFrame, cached: DataFrame, name: str, model: str) -> tuple[DataFrame, DataFrame]:
     """(answers, new): answers (id, key, answer) of requests (id, prompt), and the rows to add to the cache (key, answer).
 

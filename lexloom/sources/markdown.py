@@ -5,7 +5,6 @@ Everything is rendered as a text column, so nothing but the finished files leave
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.runtime import filesystem, put_file
 
 
 def front_matter(**pairs: Column) -> Column:
@@ -90,13 +90,10 @@ def write_files(pages: DataFrame, folder: str, name: str = "slug", text: str = "
     """Write each row to its own file under a folder all executors share; the number of files."""
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        files, root = filesystem(folder)
         for batch in batches:
             for stem, body in zip(batch["_name"], batch["_text"]):
-                path = os.path.join(folder, f"{stem}.md")
-                with open(f"{path}.part", "w", encoding="utf-8", newline="\n") as out:
-                    out.write(body)
-                os.replace(f"{path}.part", path)  # a task that runs twice leaves the same file
+                put_file(files, f"{root}/{stem}.md", body.encode("utf-8"))
             yield pd.DataFrame({"n": [len(batch)]})
 
     return pages.select(F.col(name).alias("_name"), F.col(text).alias("_text")).mapInPandas(store, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -1,4 +1,7 @@
+import http.server
 import json
+import sys
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +111,29 @@ def test_lookup_tells_what_is_missing(spark):
     assert patterns.lookup(df, "k", "a").first()["v"] == 1
     with pytest.raises(patterns.NotFound):
         patterns.lookup(df, "k", "b")
+
+
+def test_programs_and_servers_as_providers():
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"choices": [{"message": {"content": asked["model"] + ":" + asked["messages"][0]["content"]}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert inbox.http_provider(url, "m")("hello") == "m:hello"
+    server.shutdown()
+    shout = [sys.executable, "-c", "import sys; print(sys.stdin.read().upper())"]
+    assert inbox.command_provider(shout)("x{}") == "X{}\n"
+    with pytest.raises(RuntimeError):
+        inbox.command_provider([sys.executable, "-c", "raise SystemExit(3)"])("x")
+    for call in (inbox.command_provider(shout, offline=True), inbox.http_provider(url, "m", offline=True)):
+        with pytest.raises(inbox.Offline):
+            call("x")
