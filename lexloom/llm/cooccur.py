@@ -115,7 +115,7 @@ class Buckets:
 class PairTable:
     """The persistent counts of one collection of baskets."""
 
-    def __init__(self, spark: SparkSession, place: Scratch | str, basket_type: str = "long", item_type: str = "long", buckets: int = 32) -> None:
+    def __init__(self, spark: SparkSession, place: Scratch | str, basket_type: str = "long", item_type: str = "long", buckets: int = 16) -> None:
         self.spark, self.folder, self.generation, self.n = spark, place if isinstance(place, str) else place.root, 0, 0
         self.types, self.number = (basket_type, item_type), buckets
         table = lambda name, schema, *key: Buckets(spark, self.folder, name, schema, key, buckets)
@@ -166,6 +166,7 @@ class PairTable:
         touched = new.select("basket").distinct()
         if gone is not None:
             touched = touched.unionByName(gone.select(F.col(gone.columns[0]).cast(self.types[0]).alias("basket")).where("basket is not null")).distinct()
+            touched = self._step(touched, "touched")
         first = all(u is None for u in self.baskets.written.values())
         hit, before = self.baskets.hit(touched), self.spark.createDataFrame([], self.baskets.schema)
         old = before
