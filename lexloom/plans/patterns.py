@@ -40,10 +40,10 @@ def contract_by_slug(spark: SparkSession, d: str) -> DataFrame:
     return lookup(c, "slug", c.agg(F.min("slug")).first()[0])
 
 
-@query("SELECT p_brand, count(*) AS n FROM part WHERE p_type LIKE '%BRASS' AND p_name LIKE '%a%' GROUP BY 1")
-def brass_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Suffix and substring predicates."""
-    return read(spark, d, "part").where(F.endswith("p_type", F.lit("BRASS")) & F.contains("p_name", F.lit("a"))).groupBy("p_brand").agg(F.count("*").alias("n"))
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_type LIKE '%ARD' AND p_name LIKE '%widget' GROUP BY 1")
+def standard_widgets(spark: SparkSession, d: str) -> DataFrame:
+    """Suffix predicates."""
+    return read(spark, d, "part").where(F.endswith("p_type", F.lit("ARD")) & F.endswith("p_name", F.lit("widget"))).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_shipdate <> TIMESTAMP '1995-06-17' GROUP BY 1")
