@@ -132,6 +132,8 @@ def best_in_blocks(corpus: DataFrame, clause_keys: DataFrame, items: DataFrame,
 
     clause_keys: (id, key, weight), item_keys: (item_id, key, idf); keys without an idf count as shared concepts.
     """
+    corpus, items = corpus.where("id is not null"), items.where("id is not null")
+    clause_keys, item_keys = clause_keys.where("id is not null"), item_keys.where("item_id is not null")
     n_clauses, n_items = corpus.count(), items.count()
     clause_blocks, item_blocks = max(1, -(-n_clauses // s.clause_block)), max(1, -(-n_items // s.item_block))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -107,6 +107,16 @@ def test_declared_concepts_count_like_named_ones(spark):
     assert sorted(map(tuple, retrieve.declared_tags(pages).collect())) == [(0, "b"), (0, "notice-period")]
 
 
+def test_ranking_with_nulls_ties_and_nothing_to_rank(spark):
+    clauses, contracts, concepts, edges = corpus(spark, ["parrot", "parrot", None, "", "x"])
+    clauses = clauses.unionByName(spark.createDataFrame([(None, 1, "d#9", "parrot"), (7, 1, None, "parrot"), (8, None, "d#0", "parrot")], clauses.schema))
+    asked = items(spark, "parrot", None).unionByName(spark.createDataFrame([(None, None, "parrot", None, None), (5, None, None, "parrot", None)], "id long, title string, body_text string, summary string, sitting_date string"))
+    got = {(r["item_id"], r["rank"]): r["clause_id"] for r in retrieve.ranked(asked, clauses, contracts, concepts, edges).collect()}
+    # clauses without a ref come first among equals; items without a word get the clauses by ref
+    assert [got[0, k] for k in range(1, 5)] == [7, 0, 1, 4] and [got[1, k] for k in range(1, 5)] == [7, 0, 1, 4] and {k for k, _ in got} == {0, 1, 5}
+    assert retrieve.ranked(asked.limit(0), clauses, contracts, concepts, edges).count() == 0
+
+
 def test_blocks_do_not_change_the_ranking(spark):
     draw = random.Random(3)
     words = ["parrot", "insurance", "deposit", "monthly", "damage", "garden", "ceiling", "water"]
