@@ -127,6 +127,25 @@ def test_blocks_do_not_change_the_ranking(spark):
     assert whole == cut and len(whole) == 18 * 5
 
 
+def shuffled(spark):
+    """Bytes that the session's tasks wrote to shuffle files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_more_blocks_of_items_shuffle_no_more(spark):
+    draw = random.Random(4)
+    words = ["".join(draw.choices("bcdfglmnprst", k=5)) for _ in range(60)]
+    asked = items(spark, *[" ".join(draw.choices(words, k=6)) for _ in range(128)])
+    tables = corpus(spark, [" ".join(draw.choices(words, k=40)) for _ in range(400)])
+    took = []
+    for item_block in (128, 2):
+        before = shuffled(spark)
+        assert retrieve.ranked(asked, *tables, retrieve.Settings(clause_block=100, item_block=item_block)).count() == 128 * 5
+        took.append(shuffled(spark) - before)
+    assert 0 < took[1] < 1.5 * took[0]
+
+
 def test_no_corpus_no_candidates(spark):
     assert retrieve.ranked(items(spark, "x y z"), *corpus(spark, ["  "])).count() == 0
 
