@@ -219,3 +219,48 @@ def test_graph_takes_rows_whole_and_keeps_curated_labels(spark):
     assert list(map(tuple, edges.collect())) == [("item:1", "concept:rent", "mentions")]
     lines = [r["line"] for r in graph.graph_lines(nodes, edges).orderBy(F.desc("kind"), "key").collect()]
     assert lines == ['{"id":"document:d","type":"document","label":"Curated","sector":"law"}', '{"source":"item:1","target":"concept:rent","type":"mentions"}']
+
+
+def rows_of_tables(con, **tables):
+    for name, df in tables.items():
+        con.register(name, df.toPandas())
+    return con
+
+
+def test_ids_in_several_rows_rank_as_by_sql(spark):
+    import duckdb
+
+    from lexloom.plans import retrieval
+
+    draw = random.Random(5)
+    words = ["".join(draw.choices("bcdfglmnprst", k=5)) for _ in range(30)]
+    ids = [*range(40), 3, 3, 7, None, None]
+    clauses = spark.createDataFrame([(x, 1, f"d#{draw.randrange(9)}", " ".join(draw.choices(words, k=draw.choice([6, 6, 9])))) for x in ids], "id long, document_id long, ref string, text string").where("id is not null")
+    _, contracts, concepts, _ = corpus(spark, [])
+    edges = spark.createDataFrame([(3, 1), (3, 1), (9, 1), (99, 1)], "clause_id long, concept_id long")
+    asked = items(spark, *[" ".join(draw.choices(words, k=8)) for _ in range(9)], "notice periods")
+    con = rows_of_tables(duckdb.connect(), clauses=clauses, contracts=contracts, concepts=concepts, clause_concepts=edges, parliament_items=asked)
+    want = con.execute(retrieval.SQL["ranked_clauses"]).fetchall()
+    got = retrieve.ranked(asked, clauses, contracts, concepts, edges, retrieve.Settings(clause_block=16)).collect()
+    key = lambda r: (r[0], r[1])
+    assert [(a, b, c, round(d, 4), e, round(f, 4)) for a, b, c, d, e, f in sorted(map(tuple, got), key=key)] == [(a, b, c, round(d, 4), e, round(f, 4)) for a, b, c, d, e, f in sorted(want, key=key)]
+
+
+def test_terms_of_an_item_held_or_joined(spark, monkeypatch):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("bcdfglmnprst", k=4)) for _ in range(80)]
+    asked = items(spark, *[" ".join(draw.choices(words, k=90)) for _ in range(12)], None)
+    tables = corpus(spark, [" ".join(draw.choices(words, k=9)) for _ in range(50)])
+    held = sorted(map(tuple, retrieve.ranked(asked, *tables).collect()))
+    monkeypatch.setattr(retrieve, "HELD_TERMS", 0)
+    assert held == sorted(map(tuple, retrieve.ranked(asked, *tables).collect())) and len(held) == 13 * 5
+
+
+def test_postings_are_shuffled_less_than_once_as_text(spark):
+    draw = random.Random(7)
+    words = ["".join(draw.choices("bcdfglmnprst", k=8)) for _ in range(3_000)]
+    texts = [" ".join(draw.choices(words, k=80)) for _ in range(2_000)]
+    asked = items(spark, *[" ".join(draw.choices(words, k=60)) for _ in range(100)])
+    before = shuffled(spark)
+    assert retrieve.ranked(asked, *corpus(spark, texts)).count() == 100 * 5
+    assert shuffled(spark) - before < sum(map(len, texts))
