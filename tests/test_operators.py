@@ -264,3 +264,13 @@ def test_postings_are_shuffled_less_than_once_as_text(spark):
     before = shuffled(spark)
     assert retrieve.ranked(asked, *corpus(spark, texts)).count() == 100 * 5
     assert shuffled(spark) - before < sum(map(len, texts))
+
+
+def test_texts_of_items_are_not_shuffled_for_their_concepts(spark):
+    draw = random.Random(8)
+    texts = ["rent and a notice period " + " ".join("".join(draw.choices("bcdfglmnprst", k=6)) for _ in range(300)) for _ in range(200)]
+    _, _, concepts, edges = corpus(spark, [], [(1, 1), (2, 1), (3, 2), (4, 2)])
+    asked, tags = items(spark, *texts), retrieve.clause_tags(edges, concepts)
+    before = shuffled(spark)
+    assert retrieve.item_tags(asked, concepts, tags, retrieve.Settings()).count() == 200
+    assert shuffled(spark) - before < 50_000
