@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexloom.operators import graph, merge, order, retrieve, rollup, segment
+from lexloom.operators import graph, merge, order, retrieve, rollup, segment, tagging
 from lexloom.operators.redline import redline_ops
 
 
@@ -274,3 +274,13 @@ def test_texts_of_items_are_not_shuffled_for_their_concepts(spark):
     before = shuffled(spark)
     assert retrieve.item_tags(asked, concepts, tags, retrieve.Settings()).count() == 200
     assert shuffled(spark) - before < 50_000
+
+
+def test_clauses_that_no_item_got_are_not_shuffled_for_prompts(spark):
+    draw = random.Random(9)
+    c = spark.createDataFrame([(i, f"d#{i}", "1", "h", "".join(draw.choices("bcdfglmnprst ", k=3_000))) for i in range(300)], "id long, ref string, number string, heading string, text string")
+    ranks = spark.createDataFrame([(0, 1, 7), (0, 2, 9), (1, 1, 7)], "item_id long, rank int, clause_id long")
+    before = shuffled(spark)
+    got = {r["item_id"]: r["prompt"] for r in tagging.prompts(items(spark, "a", "b"), ranks, c, "Judge.").collect()}
+    assert [got[k].count("## Candidate clause d#") for k in (0, 1)] == [2, 1] and got[0].index("d#7") < got[0].index("d#9")
+    assert shuffled(spark) - before < 50_000
