@@ -27,3 +27,9 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_texts_of_items_do_not_go_into_the_pairs(spark):
+    from lexloom.plans import judging
+
+    assert judging._candidates(spark, DATA).columns == ["item_id", "ref", "text", "own", "legislation_type"]
