@@ -284,3 +284,11 @@ def test_clauses_that_no_item_got_are_not_shuffled_for_prompts(spark):
     got = {r["item_id"]: r["prompt"] for r in tagging.prompts(items(spark, "a", "b"), ranks, c, "Judge.").collect()}
     assert [got[k].count("## Candidate clause d#") for k in (0, 1)] == [2, 1] and got[0].index("d#7") < got[0].index("d#9")
     assert shuffled(spark) - before < 50_000
+
+
+def test_texts_of_clauses_are_not_shuffled_for_their_documents(spark):
+    draw = random.Random(10)
+    clauses, contracts, _, _ = corpus(spark, ["".join(draw.choices("bcdfglmnprst ", k=3_000)) for _ in range(300)])
+    before = shuffled(spark)
+    assert retrieve.readable(clauses, contracts).agg(F.sum(F.length("text"))).first()[0] == 900_000
+    assert shuffled(spark) - before < 50_000
