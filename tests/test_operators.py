@@ -1,9 +1,16 @@
+import itertools
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import graph, merge, order, retrieve, rollup, segment, tagging
 from lexloom.operators.redline import redline_ops
 
@@ -292,3 +299,49 @@ def test_texts_of_clauses_are_not_shuffled_for_their_documents(spark):
     before = shuffled(spark)
     assert retrieve.readable(clauses, contracts).agg(F.sum(F.length("text"))).first()[0] == 900_000
     assert shuffled(spark) - before < 50_000
+
+
+def test_concepts_are_found_as_their_patterns_find_them(spark):
+    bodies = ["a NOTICE-\n period", "notice, periods", "notice_period", "notice 2 period", "noticeperiod", "notice periodss", "xnotice period", "énotice period", "notice periodK", "notice period.", "", None, "rent", "period notice"]
+    _, _, concepts, edges = corpus(spark, [], [(1, 1), (2, 1), (3, 2), (4, 2)])
+    asked = items(spark, *bodies)
+    got = {r["item_id"] for r in retrieve.item_tags(asked, concepts, retrieve.clause_tags(edges, concepts), retrieve.Settings()).collect()}
+    want = asked.where(r"regexp_like(concat(title, '\n', coalesce(body_text, '')), '(?i)\\bnotice\\W+periods?\\b')")
+    assert got == {r["id"] for r in want.collect()} and {0, 1, 9} <= got and not got & {2, 3, 4, 5, 6, 10, 11, 12, 13}
+
+
+def test_words_of_concepts_do_not_make_texts_be_searched_for_patterns(spark):
+    """Where the words stand but not the name, a text costs little more than its words do."""
+    words = ["".join(p) for p in itertools.product("bcdfg", repeat=3)]
+    concepts = spark.createDataFrame([(i, f"c{i}", f"{w}{w}x {w}y") for i, w in enumerate(words)], "id long, slug string, name string")
+    edges = spark.createDataFrame([(k, i) for i in range(len(words)) for k in (1, 2)], "clause_id long, concept_id long")
+    text = " ".join(f"{w}{w}x, and not {w}y, and {'q' * 40}" for w in words)
+    asked, tags = items(spark, *[f"{text} {i}" for i in range(1_500)]).repartition(4).localCheckpoint(), retrieve.clause_tags(edges, concepts).localCheckpoint()
+
+    def seconds(df):
+        began = time.perf_counter()
+        assert df.count() == 0
+        return time.perf_counter() - began
+
+    patterns = [r["p"] for r in concepts.select(T.concept_pattern(F.col("name")).alias("p")).limit(20).collect()]
+    found, some = (min(seconds(df) for _ in range(2)) for df in (retrieve.item_tags(asked, concepts, tags, retrieve.Settings()), asked.where(" or ".join(f"regexp_like(body_text, r'{p}')" for p in patterns))))
+    assert found < 3 * some
+
+
+def test_scores_by_item_and_as_a_product_are_those_of_all_pairs(tmp_path):
+    draw = np.random.default_rng(11)
+    n, m, held, named = 50, 40, np.arange(100, 160), np.arange(150, 160)
+    weight = draw.random((60, n)) * (draw.random((60, n)) < draw.choice([0.02, 0.3, 0.9], 60)[:, None])
+    term, place = np.nonzero(weight)
+    terms, begin = np.unique(held[term], return_index=True)
+    one = lambda x: pa.array([x])
+    pq.write_table(pa.table({"ids": one(np.arange(n)), "terms": one(terms), "begin": one(np.append(begin, len(term))), "place": one(place.astype(np.int32)), "weight": one(weight[term, place])}), tmp_path / "0.parquet")
+    block = retrieve._Block(pa.fs.LocalFileSystem(), str(tmp_path / "0.parquet"))
+    asks = draw.random((m, 60)) < 0.3
+    asks[3] = False
+    idf = draw.random(60)
+    row, col = np.nonzero(asks)
+    part = retrieve._Asked(np.arange(m), row, held[col], np.where(np.isin(held[col], named), np.nan, idf[col]), retrieve.Settings())
+    at = np.minimum(np.searchsorted(block.terms, part.terms), len(block.terms) - 1)
+    near = part._near(block, np.flatnonzero(block.terms[at] == part.terms), at)
+    assert np.allclose(near, (asks * np.where(np.isin(held, named), 3.0, idf)) @ weight, rtol=1e-5)
