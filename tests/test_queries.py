@@ -45,6 +45,12 @@ def test_gate_outcomes_uses_the_whole_of_long_texts(spark, tmp_path):
     assert {r["outcome"] for r in QUERIES["gate_outcomes"](spark, folder).collect()} == {"judged", "over_budget"}
 
 
+def test_ranked_documents_uses_the_whole_of_long_texts(spark, tmp_path):
+    folder = with_long_texts(tmp_path)
+    check(spark, folder, QUERIES["ranked_documents"], SQL["ranked_documents"])
+    assert {r["bm25"] > 20 for r in QUERIES["ranked_documents"](spark, folder).where("rank = 1").collect()} == {True}
+
+
 def test_texts_of_items_do_not_go_into_the_pairs(spark):
     from lexloom.plans import judging
 
